@@ -40,7 +40,12 @@ def _boundaries(cps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     close_next[:-1] = close[1:]
     before = np.zeros(n, dtype=bool)
     before[1:] = end[:-1]
-    sentence = (end & space_next) | (close & before & space_next) | (wide_end & ~close_next) | newline
+    # Where blanks were lost, a capital after a full stop begins a sentence.
+    capital_next = np.zeros(n, dtype=bool)
+    capital_next[:-1] = (cps[1:] >= 0x41) & (cps[1:] <= 0x5A)
+    capital_before = np.zeros(n, dtype=bool)
+    capital_before[1:] = (cps[:-1] >= 0x41) & (cps[:-1] <= 0x5A)
+    sentence = (end & space_next) | (close & before & space_next) | (wide_end & ~close_next) | newline | (end & capital_next & ~capital_before)
     return np.flatnonzero(sentence) + 1, np.flatnonzero(space) + 1
 
 
