@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language as lang_id
+from . import pairs
 
 #: A second language counts from a passage of so many characters.
 LEAST_PASSAGE = 200
@@ -49,8 +50,26 @@ def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paper_languages(spark, sf_dir).select("paper_id", F.posexplode("runs").alias("segment_no", "r")).select("paper_id", "segment_no", "r.start", "r.stop", "r.lang", "r.confidence")
 
 
+def _tagged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "grounded_samples").select(
+        F.col("sample_id").alias("id"), F.col("research_question").alias("question"), "target", "title", "topic", "reject", F.col("created_at").alias("at")
+    )
+    tagger = pairs.train(pairs.training_sequences(pairs.training_sample(rows)))
+    return pairs.tag_pairs(rows, tagger)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective samples with their defect."""
+    return _tagged_pairs(spark, sf_dir).where("defect is not null").select(F.col("id").alias("sample_id"), "defect")
+
+
+def p1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sample with the share of its target under each clause label."""
+    return _tagged_pairs(spark, sf_dir).withColumnRenamed("id", "sample_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_papers, p2_segments)}
+    return {f.__name__: f for f in (p1_found, p1_coverage, p2_found, p2_papers, p2_segments)}
 
 
 def oracle_sql() -> dict[str, str]:
