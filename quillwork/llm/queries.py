@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language as lang_id
-from . import pairs
+from . import leakage, pairs
 
 #: A second language counts from a passage of so many characters.
 LEAST_PASSAGE = 200
@@ -68,8 +68,25 @@ def p1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tagged_pairs(spark, sf_dir).withColumnRenamed("id", "sample_id")
 
 
+def _leaked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an evaluation passage, and the leaked item."""
+    return _leaked(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per item, how many documents hold its passage, wholly or with its question or answer."""
+    return _leaked(spark, sf_dir).groupBy("item_id").agg(
+        F.count("*").alias("documents"), F.count_if("words = passage_words and edits = 0").alias("whole"), F.max("words").alias("most_words"),
+        F.count_if("has_question").alias("with_question"), F.count_if("has_answer").alias("with_answer"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_coverage, p2_found, p2_papers, p2_segments)}
+    return {f.__name__: f for f in (p1_found, p1_coverage, p2_found, p2_papers, p2_segments, p8_found, p8_items)}
 
 
 def oracle_sql() -> dict[str, str]:
