@@ -80,7 +80,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per item, how many documents hold its passage, wholly or with its question or answer."""
     return _leaked(spark, sf_dir).groupBy("item_id").agg(
-        F.count("*").alias("documents"), F.count_if("words = passage_words and edits = 0").alias("whole"), F.max("words").alias("most_words"),
+        F.count("*").alias("documents"), F.count_if(F.expr("words = passage_words and edits = 0")).alias("whole"), F.max("words").alias("most_words"),
         F.count_if("has_question").alias("with_question"), F.count_if("has_answer").alias("with_answer"),
     )
 
