@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import language as lang_id
 from . import leakage, pairs
+from . import subjects as topics
 
 #: A second language counts from a passage of so many characters.
 LEAST_PASSAGE = 200
@@ -85,8 +86,27 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _document_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    names = [r.subject for r in table(spark, sf_dir, "subject_areas").where("subject is not null").select("subject").distinct().collect()]
+    rows = topics.training_rows(docs, table(spark, sf_dir, "doc_subject_labels"), names)
+    return topics.document_subjects(docs, topics.fit(rows, names))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects of every document."""
+    return _document_subjects(spark, sf_dir).select("doc_id", F.explode("subjects").alias("s")).select("doc_id", "s.subject").distinct()
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents, and how much of them, each subject has, per source."""
+    found = _document_subjects(spark, sf_dir).select("doc_id", F.explode("subjects").alias("s"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.char_length("text").alias("n"))
+    return found.join(docs, "doc_id").groupBy("source", "s.subject").agg(F.count("*").alias("documents"), F.round(F.sum(F.col("s.share") * F.col("n")), 0).alias("characters"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_coverage, p2_found, p2_papers, p2_segments, p8_found, p8_items)}
+    return {f.__name__: f for f in (p1_found, p1_coverage, p2_found, p2_papers, p2_segments, p8_found, p8_items, p9_found, p9_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
