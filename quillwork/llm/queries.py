@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language as lang_id
-from . import leakage, pairs
+from . import leakage, packing, pairs
 from . import subjects as topics
 
 #: A second language counts from a passage of so many characters.
@@ -69,6 +69,24 @@ def p1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tagged_pairs(spark, sf_dir).withColumnRenamed("id", "sample_id")
 
 
+#: Tokens of a container.
+CAPACITY = 2048
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's container; documents over the capacity in pieces."""
+    return packing.packed(table(spark, sf_dir, "documents"), CAPACITY)
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, their fill, and the least number that any packing needs."""
+    per = p7_containers(spark, sf_dir).groupBy("container_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("items"))
+    return per.agg(
+        F.count("*").alias("containers"), F.ceil(F.sum("n") / CAPACITY).alias("lower_bound"), F.sum("items").alias("items"), F.max("n").alias("fullest"),
+        F.round(F.sum("n") / (F.count("*") * CAPACITY), 6).alias("fill"),
+    )
+
+
 def _leaked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -106,7 +124,7 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_coverage, p2_found, p2_papers, p2_segments, p8_found, p8_items, p9_found, p9_mix)}
+    return {f.__name__: f for f in (p1_found, p1_coverage, p2_found, p2_papers, p2_segments, p7_containers, p7_fill, p8_found, p8_items, p9_found, p9_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
