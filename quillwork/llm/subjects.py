@@ -289,7 +289,7 @@ class Model:
 
 
 #: Documents that training reads at most, labelled ones first.
-TRAINING_DOCUMENTS = 8000
+TRAINING_DOCUMENTS = 6000
 #: A subject that wins less than this share of a document's sentences isn't given to it.
 LEAST_SHARE = 0.1
 
