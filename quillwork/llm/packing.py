@@ -205,7 +205,8 @@ def _packer(capacity: int, level: int):
 
 def _blocks(items: DataFrame, block: int) -> DataFrame:
     count = max(1, -(-items.count() // block))
-    return items.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(count)))
+    # A fixed number of partitions: the rows are few bytes but much work, so they must not be merged by size.
+    return items.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(count))).repartition(count, "block")
 
 
 def packed(docs: DataFrame, capacity: int = 2048, tokenizer: str = DEFAULT_TOKENIZER, block: int = 4000, slack: float = 0.01) -> DataFrame:
