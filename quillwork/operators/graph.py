@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quality import bound
+
 
 def author_names(authors: Column) -> Column:
     """The names of a JSON array of strings or of a list separated by `;`, trimmed, blank ones left out. Null: empty."""
@@ -72,11 +74,15 @@ def mentions(docs: DataFrame, id_col: str, text: Column, catalogue: list[tuple[s
         return docs.select(id_col, F.lit(None).cast("string").alias("entity_id"), F.lit(None).cast("string").alias("alias"), F.lit(None).cast("string").alias("status")).limit(0)
     longest = max(len(a.split()) for a in owners)
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    grams = words
-    for n in range(2, longest + 1):
-        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i, n=n: F.array_join(F.slice(words, i, n), " "))
-        grams = F.concat(grams, runs)
-    hit = F.array_distinct(F.filter(grams, lambda g: g.isin(*sorted(owners))))
+
+    def runs(ws: Column) -> Column:
+        out = ws
+        for n in range(2, longest + 1):
+            places = F.sequence(F.lit(1), F.greatest(F.size(ws) - (n - 1), F.lit(1)))
+            out = F.concat(out, F.transform(places, lambda i, n=n: F.array_join(F.slice(ws, i, n), " ")))
+        return out
+
+    hit = F.array_distinct(F.filter(bound(words, runs), lambda g: g.isin(*sorted(owners))))
     table = F.create_map(*[F.lit(x) for a, e in sorted(owners.items()) if len(e) == 1 for x in (a, next(iter(e)))]) if any(len(e) == 1 for e in owners.values()) else F.create_map(F.lit(""), F.lit(""))
     found = docs.select(id_col, F.explode(hit).alias("alias")).withColumn("entity_id", F.try_element_at(table, F.col("alias")))
     return found.withColumn("status", F.when(F.col("entity_id").isNull(), "unresolved").otherwise("resolved")).select(id_col, "entity_id", "alias", "status").distinct()

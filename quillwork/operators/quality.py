@@ -73,12 +73,21 @@ def abstract_from_index(index: Column) -> Column:
     return F.when(text != "", text)
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once: inside a lambda an expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def inverted_index(text: Column) -> Column:
     """map<word, array<position>> of the words between blanks. Null for null and blank texts."""
     words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
-    keys = F.array_distinct(words)
-    places = F.transform(keys, lambda k: F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i) == k))
-    return F.when(F.size(words) > 0, F.map_from_arrays(keys, places))
+    entries = bound(
+        F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))),
+        lambda ws: F.transform(
+            F.array_distinct(F.transform(ws, lambda x: x.w)), lambda k: F.struct(k.alias("key"), F.transform(F.filter(ws, lambda x: x.w == k), lambda x: x.i).alias("value"))
+        ),
+    )
+    return F.when(F.size(words) > 0, F.map_from_entries(entries))
 
 
 def content_terms(text: Column) -> Column:
