@@ -51,7 +51,7 @@ def sections(df: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:
 def clean_article(text: Column, title: Column, footer: str | None = None) -> Column:
     """An article's non-empty lines with single blanks, without a first line that repeats the title, and cut before the
     first line that matches the footer pattern (letter case aside). Null stays null."""
-    lines = F.filter(F.transform(F.split(text, r"\r\n|[\n\r  ]"), lambda x: F.trim(F.regexp_replace(x, r"[\t ]+", " "))), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\\r\\n|[\\n\\r\\u2028\\u2029]"), lambda x: F.trim(F.regexp_replace(x, r"[\t ]+", " "))), lambda x: x != "")
     bare = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", "")
     lines = F.when((F.size(lines) > 0) & (bare(F.get(lines, F.lit(0))) == bare(title)), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
     if footer:

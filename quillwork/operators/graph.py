@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +61,10 @@ def related(edges: DataFrame, seeds: DataFrame, types: list[str], limit: int) ->
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def _joined(words: Column, n: int):
+    return lambda i: F.array_join(F.slice(words, i, n), " ")
+
+
 def mentions(docs: DataFrame, id_col: str, text: Column, catalogue: list[tuple[str, str, list[str]]]) -> DataFrame:
     """(id_col, entity_id, alias, status): catalogue aliases that occur as whole words in a document, letter case aside.
 
@@ -68,8 +74,8 @@ def mentions(docs: DataFrame, id_col: str, text: Column, catalogue: list[tuple[s
     owners: dict[str, set[str]] = {}
     for entity, _, names in catalogue:
         for n in names:
-            if n.strip():
-                owners.setdefault(" ".join(n.lower().split()), set()).add(entity)
+            if words := re.findall(r"[^\W_]+", n.lower()):
+                owners.setdefault(" ".join(words), set()).add(entity)
     if not owners:
         return docs.select(id_col, F.lit(None).cast("string").alias("entity_id"), F.lit(None).cast("string").alias("alias"), F.lit(None).cast("string").alias("status")).limit(0)
     longest = max(len(a.split()) for a in owners)
@@ -79,7 +85,7 @@ def mentions(docs: DataFrame, id_col: str, text: Column, catalogue: list[tuple[s
         out = ws
         for n in range(2, longest + 1):
             places = F.sequence(F.lit(1), F.greatest(F.size(ws) - (n - 1), F.lit(1)))
-            out = F.concat(out, F.transform(places, lambda i, n=n: F.array_join(F.slice(ws, i, n), " ")))
+            out = F.concat(out, F.transform(places, _joined(ws, n)))
         return out
 
     hit = F.array_distinct(F.filter(bound(words, runs), lambda g: g.isin(*sorted(owners))))

@@ -1,2 +1,217 @@
-"""The same results in SQL, for comparison."""
-def oracle_sql(): return {}
+"""The registered queries' results in SQL (DuckDB's dialect), written from their definitions."""
+
+from __future__ import annotations
+
+from ..operators.quality import LEAST_SECTION, METADATA, SUPPORT_STOPWORDS
+from .reference import CATALOGUE, CONTEXTS, CORE, LIMITS
+
+_RESOLVER = r"(?:(?:www|dx)\.)*doi\.(?:example|org)"
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def doi(c: str) -> str:
+    x = (
+        f"lower(regexp_replace(regexp_replace(url_decode(lower(regexp_replace({c}, '\\s+', '', 'g'))), "
+        f"'^(?:https?://)?(?:{_RESOLVER}/)?(?:doi:)?', ''), '\\s+', '', 'g'))"
+    )
+    return f"CASE WHEN regexp_matches({x}, '^10\\.[0-9]{{4,9}}/.+') THEN {x} END"
+
+
+def url(c: str) -> str:
+    bare = f"regexp_replace(regexp_replace(trim({c}), '^[a-zA-Z][a-zA-Z0-9+.-]*://', ''), '#.*$', '')"
+    host = f"regexp_replace(lower(regexp_extract({bare}, '^([^/?]*)', 1)), '^www\\.', '')"
+    path = f"regexp_replace(regexp_extract({bare}, '^[^/?]*([^?]*)', 1), '/+$', '')"
+    params = (
+        f"array_to_string(list_sort(list_filter(string_split(regexp_extract({bare}, '\\?(.*)$', 1), '&'), "
+        "lambda p: p <> '' AND NOT regexp_matches(p, '(?i)^(?:utm_[^=]*|fbclid|gclid)(?:=|$)'))), '&')"
+    )
+    return f"CASE WHEN regexp_matches({host}, '^[^\\s.]+(?:\\.[^\\s.]+)+$') THEN {host} || {path} || CASE WHEN {params} <> '' THEN '?' || {params} ELSE '' END END"
+
+
+def url_or_doi(c: str) -> str:
+    inner = f"regexp_replace({c}, '[?#].*$', '')"
+    return f"coalesce('doi:' || CASE WHEN regexp_matches({c}, '(?i)^\\s*(?:https?://)?{_RESOLVER}/') THEN {doi(inner)} END, 'url:' || {url(c)})"
+
+
+def sha(c: str) -> str:
+    x = f"lower(trim({c}))"
+    return f"CASE WHEN regexp_matches({x}, '^[0-9a-f]{{64}}$') AND {x} <> sha256('') AND len(list_distinct(string_split({x}, ''))) > 1 THEN {x} END"
+
+
+def title(c: str) -> str:
+    return f"nullif(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', '', 'g'), '')"
+
+
+def terms(c: str) -> str:
+    stop = ", ".join(_quoted(w) for w in SUPPORT_STOPWORDS)
+    return f"list_filter(list_distinct(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]{{4,}}')), lambda w: NOT list_contains([{stop}], w))"
+
+
+def words(c: str) -> str:
+    return f"regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _shingles(source: str) -> str:
+    """CTEs sh(id, g), n(id, n) and sim(a, b) of pairs with similarity of at least a half, from source(id, t)."""
+    return f"""
+    w AS (SELECT id, {words('t')} AS w FROM {source}),
+    sh AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w),
+    n AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
+    met AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM sh x JOIN sh y ON x.g = y.g AND x.id < y.id GROUP BY 1, 2),
+    sim AS (SELECT a, b FROM met JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE c >= 0.5 * (na.n + nb.n - c))"""
+
+
+_KEYS = f"""k AS (SELECT DISTINCT paper_id, key FROM (
+        SELECT paper_id, 'doi:' || {doi('doi')} AS key FROM papers UNION ALL SELECT paper_id, {url_or_doi('source_url')} FROM papers
+        UNION ALL SELECT paper_id, 'hash:' || {sha('content_hash')} FROM papers) WHERE key IS NOT NULL)"""
+
+_HITS = """h AS (SELECT query_id, chunk_id, chunk_id % 97 AS owner, similarity FROM (
+        SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS similarity,
+            row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) AS r
+        FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id) WHERE r <= 40)"""
+
+_EDGES = """edges AS (
+        SELECT DISTINCT 'Author:' || trim(a) AS src, 'Paper:' || paper_id AS dst, 'WRITTEN_BY' AS type FROM (
+            SELECT paper_id, unnest(CASE WHEN starts_with(trim(authors), '[') THEN from_json(authors, '["VARCHAR"]') ELSE string_split(authors, ';') END) AS a FROM papers
+            WHERE authors IS NOT NULL) WHERE trim(a) <> ''
+        UNION SELECT 'Paper:' || paper_id, 'Keyword:' || trim(k), 'HAS_KEYWORD' FROM (SELECT paper_id, unnest(keywords) AS k FROM papers) WHERE trim(k) <> ''
+        UNION SELECT 'Paper:' || paper_id, 'Source:' || trim(source), 'PUBLISHED_BY' FROM papers WHERE trim(source) <> '')"""
+
+
+def _flags() -> str:
+    lows = ", ".join(f"CASE WHEN length(coalesce({n}, '')) < {m} THEN 'missing_or_short_{n}' END" for n, m in LEAST_SECTION.items())
+    tw = "list_distinct(regexp_extract_all(lower(coalesce(title, '')), '[\\p{L}\\p{N}_]{3,}'))"
+    fw = "list_distinct(regexp_extract_all(lower(left(coalesce(fulltext, ''), 12000)), '[\\p{L}\\p{N}_]{3,}'))"
+    return f"""list_filter([CASE WHEN length(coalesce(fulltext, '')) < 5000 THEN 'insufficient_fulltext' END,
+        CASE WHEN len({tw}) > 0 AND len(list_intersect({tw}, {fw})) / len({tw}) < 0.6 THEN 'source_title_mismatch' END, {lows},
+        CASE WHEN (length(coalesce(fulltext, '')) - length(replace(coalesce(fulltext, ''), chr(65533), ''))) / greatest(length(coalesce(fulltext, '')), 1) > 0.005
+            THEN 'text_encoding_damage' END], lambda x: x IS NOT NULL)"""
+
+
+def _relevance() -> str:
+    both = "(coalesce(title, '') || ' ' || coalesce(abstract, ''))"
+    has = lambda c, p: f"regexp_matches({c}, {_quoted('(?i)' + p)})"
+    topics = "list_filter([" + ", ".join(f"CASE WHEN {has(both, p)} THEN '{n}' END" for n, p in CONTEXTS.items()) + "], lambda x: x IS NOT NULL)"
+    named = " + ".join(f"{has(chr(34) + 't' + chr(34), p)}::INT" for p in CONTEXTS.values())
+    return f"""SELECT paper_id, (CASE WHEN fits THEN 5 * {has('t', CORE)}::INT + len(topics) + {named} ELSE 0 END)::INT AS score,
+        CASE WHEN fits THEN array_to_string(topics, ',') ELSE '' END AS topics
+        FROM (SELECT paper_id, coalesce(title, '') AS t, {topics} AS topics, {has(both, CORE)} AND len({topics}) > 0 AS fits FROM papers)"""
+
+
+def _sentences() -> str:
+    meta = _quoted("(?i)" + "|".join(f"(?:{p})" for p in METADATA))
+    t = "trim(regexp_replace(coalesce(t, ''), '\\s+', ' ', 'g'))"
+    t = f"regexp_replace({t}, '\\[(?:\\d+[\\s,;–-]*)+\\]', '', 'g')"
+    t = f"regexp_replace({t}, '\\([^)]*\\b(?:19|20)\\d{{2}}[a-z]?[^)]*\\)', '', 'g')"
+    parts = f"string_split(regexp_replace({t}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+    return f"""WITH f AS (SELECT paper_id, unnest(['introduction', 'body', 'conclusion']) AS section, unnest([introduction, body, conclusion]) AS t FROM papers),
+        s AS (SELECT paper_id, section, trim(regexp_replace(unnest({parts}), '\\s+', ' ', 'g')) AS s FROM f),
+        m AS (SELECT *, len(string_split(s, ' ')) AS n, len(list_filter(string_split(s, ' '), lambda w: regexp_matches(w, '\\d'))) AS digits,
+            length(s) - length(regexp_replace(s, '[a-zA-Z]', '', 'g')) AS letters FROM s WHERE s <> ''),
+        ok AS (SELECT * FROM m WHERE n BETWEEN 8 AND 70 AND regexp_matches(s, '[.!?]["''”’]?\\s*$') AND NOT regexp_matches(s, '(?:\\.{{3,}}|[_=]{{3,}}|\\s[,;:]\\s[,;:])')
+            AND NOT (digits >= 4 AND digits / n >= 0.12) AND letters / length(s) > 0.55 AND NOT regexp_matches(s, {meta}))
+        SELECT f.paper_id, f.section, count(ok.s)::INT AS sentences, coalesce(sum(ok.n), 0)::INT AS words FROM f LEFT JOIN ok USING (paper_id, section) GROUP BY 1, 2"""
+
+
+def _mentions() -> str:
+    import re
+
+    owners: dict[str, set[str]] = {}
+    for entity, _, names in CATALOGUE:
+        for n in names:
+            owners.setdefault(" ".join(re.findall(r"[^\W_]+", n.lower())), set()).add(entity)
+    rows = ", ".join(f"({_quoted(a)}, {_quoted(next(iter(e))) if len(e) == 1 else 'NULL'})" for a, e in sorted(owners.items()))
+    text = "concat_ws(chr(10), title_original, content_original)"
+    return f"""SELECT DISTINCT news_id, c.entity_id::VARCHAR AS entity_id, c.alias, CASE WHEN c.entity_id IS NULL THEN 'unresolved' ELSE 'resolved' END AS status
+        FROM (SELECT news_id, ' ' || array_to_string({words(text)}, ' ') || ' ' AS t FROM news) n JOIN (VALUES {rows}) c(alias, entity_id) ON contains(n.t, ' ' || c.alias || ' ')"""
+
+
+def _load_checks() -> str:
+    out = []
+    for name, key, required in (("papers", "paper_id", ("title", "source_url")), ("news", "news_id", ("title_original", "content_original", "url"))):
+        found = [f"CASE WHEN coalesce({c}::VARCHAR, '') = '' THEN '{c}:required' END" for c in required]
+        found += [f"CASE WHEN length({c}) > {m} THEN '{c}:length' END" for c, m in LIMITS[name].items() if m]
+        out.append(f"SELECT '{name}' AS kind, {key} AS id, array_to_string(list_filter([{', '.join(found)}], lambda x: x IS NOT NULL), ',') AS errors FROM {name}")
+    return f"SELECT * FROM ({' UNION ALL '.join(out)}) WHERE errors <> ''"
+
+
+def oracle_sql() -> dict[str, str]:
+    bare = lambda c: f"regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}_]+', '', 'g')"
+    lines = "list_filter(list_transform(string_split_regex(content_original, '\\r\\n|[\\n\\r\\x{2028}\\x{2029}]'), lambda x: trim(regexp_replace(x, '[\\t ]+', ' ', 'g'))), lambda x: x <> '')"
+    content = "regexp_replace(lower(fulltext), '[^\\p{L}\\p{N}]+', '', 'g')"
+    split = "CASE WHEN lower(trim(split)) IN ('train', 'training') THEN 'train' WHEN lower(trim(split)) IN ('validation', 'valid', 'val', 'dev') THEN 'validation' WHEN lower(trim(split)) IN ('test', 'testing') THEN 'test' END"
+    return {
+        "identity_keys": f"SELECT paper_id, {doi('doi')} AS doi_key, {url_or_doi('source_url')} AS url_key, {sha('content_hash')} AS hash_key, {title('title')} AS title_key FROM papers",
+        "news_url_keys": f"SELECT url_key, count(*) AS deliveries, min(news_id) AS first_id FROM (SELECT news_id, {url('url')} AS url_key FROM news) WHERE url_key IS NOT NULL GROUP BY url_key",
+        "raw_existing_match": f"""WITH r AS (SELECT openalex_id, max({doi('doi')}) AS d, max({title('title')}) AS t FROM raw_papers WHERE openalex_id IS NOT NULL GROUP BY 1)
+            SELECT openalex_id, CASE WHEN d IN (SELECT {doi('doi')} FROM papers WHERE {doi('doi')} IS NOT NULL) THEN 'doi'
+                WHEN upper(openalex_id) IN (SELECT upper(openalex_id) FROM papers WHERE openalex_id IS NOT NULL) THEN 'openalex_id'
+                WHEN t IN (SELECT {title('title')} FROM papers WHERE {title('title')} IS NOT NULL) THEN 'title' END AS reason FROM r""",
+        "paper_quality_flags": f"SELECT paper_id, array_to_string({_flags()}, ',') AS flags FROM papers",
+        "paper_quality_state": f"""WITH a AS (SELECT *, CASE WHEN length(fulltext) > 0 THEN {content} END AS key FROM papers WHERE paper_id IS NOT NULL),
+            b AS (SELECT *, coalesce(paper_id > min(paper_id) OVER (PARTITION BY key) AND key IS NOT NULL, false) AS is_repeat, {_flags()} AS f0 FROM a),
+            c AS (SELECT *, CASE WHEN is_repeat THEN list_append(f0, 'duplicate_fulltext') ELSE f0 END AS f FROM b),
+            s AS (SELECT *, round(greatest(0.0, 1.0 - least(0.75, len(f) * 0.15) - CASE WHEN language = 'en' AND language_detection_confidence >= 0.9 THEN 0 ELSE 0.15 END
+                - CASE WHEN language_metadata = 'en' THEN 0 ELSE 0.1 END)::DOUBLE, 2) AS score FROM c)
+            SELECT paper_id, is_repeat, score, CASE WHEN list_contains(f, 'source_title_mismatch') THEN 'rejected' WHEN score = 1.0 THEN 'ready' ELSE 'review_required' END AS state FROM s""",
+        "paper_relevance": _relevance(),
+        "abstract_round_trip": """WITH a AS (SELECT paper_id, list_filter(string_split_regex(trim(abstract), '\\s+'), lambda w: w <> '') AS w FROM papers)
+            SELECT paper_id, CASE WHEN len(w) > 0 THEN array_to_string(w, ' ') END AS abstract, CASE WHEN len(w) > 0 THEN len(list_distinct(w))::INT END AS n_words FROM a""",
+        "sample_support": f"""SELECT DISTINCT sample_id, round(len(list_intersect(own, theirs)) / greatest(len(own), 1), 6) AS support FROM (
+            SELECT sample_id, {terms('target')} AS own, {terms("array_to_string(list_concat(coalesce(paper_evidence, []), coalesce(news_evidence, [])), ' ')")} AS theirs FROM grounded_samples)""",
+        "training_sentence_counts": _sentences(),
+        "vector_search": """SELECT query_id, vec_id, round(s, 6) AS similarity, r::INT AS rank FROM (
+            SELECT q.vec_id AS query_id, e.vec_id AS vec_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS s,
+                row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) AS r
+            FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id) WHERE r <= 10""",
+        "best_chunk_per_owner": f"""WITH {_HITS}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, owner ORDER BY similarity DESC, chunk_id)::INT AS owner_rank FROM h)
+            SELECT query_id, owner, chunk_id, owner_rank, round(similarity, 6) AS similarity FROM o WHERE owner_rank <= 2""",
+        "news_recency_ranking": f"""WITH {_HITS}, b AS (SELECT query_id, owner AS news_id, chunk_id, similarity, published_at, row_number() OVER (PARTITION BY query_id, owner ORDER BY similarity DESC, chunk_id) AS o
+                FROM h JOIN news ON news_id = owner),
+            c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, news_id) AS r FROM b WHERE o = 1),
+            s AS (SELECT *, CASE WHEN published_at >= TIMESTAMP '2023-01-01' THEN 1.0 WHEN published_at >= TIMESTAMP '2021-01-01' THEN 0.5 ELSE 0.0 END::DOUBLE AS recency_score FROM c WHERE r <= 20),
+            t AS (SELECT *, similarity + recency_score * 0.08::DOUBLE AS score FROM s),
+            u AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, similarity DESC, news_id)::INT AS news_rank FROM t)
+            SELECT query_id, news_id, chunk_id, recency_score, round(score, 6) AS ranking_score, news_rank FROM u WHERE news_rank <= 5""",
+        "diversity_ranking": f"""WITH {_HITS}, a AS (SELECT *, row_number() OVER (PARTITION BY query_id, owner ORDER BY similarity DESC, chunk_id) - 1 AS seen,
+                row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS place FROM h),
+            b AS (SELECT *, similarity - 0.015::DOUBLE * least(seen, 4) AS score FROM a)
+            SELECT query_id, owner, chunk_id, round(score, 6) AS diversity_score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place)::INT AS final_rank FROM b""",
+        "graph_edges": f"WITH {_EDGES} SELECT src, dst, type FROM edges",
+        "graph_nodes": f"""WITH {_EDGES} SELECT id, string_split(id, ':')[1] AS label, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id""",
+        "graph_related": f"""WITH {_EDGES}, k AS (SELECT src, dst FROM edges WHERE type = 'HAS_KEYWORD'),
+            p AS (SELECT x.src AS seed, y.src AS related, count(*) AS relation_score FROM k x JOIN k y ON x.dst = y.dst AND x.src <> y.src
+                WHERE x.src IN (SELECT 'Paper:' || paper_id FROM papers WHERE paper_id % 50 = 0) GROUP BY 1, 2),
+            r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY relation_score DESC, related)::INT AS rank FROM p) SELECT * FROM r WHERE rank <= 10""",
+        "hybrid_fusion": f"""WITH {_HITS}, b AS (SELECT query_id, owner, max(similarity) AS s, arg_max(chunk_id, (similarity, -chunk_id)) AS c, count(*) AS n FROM h GROUP BY 1, 2),
+            r AS (SELECT query_id, owner, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, c)::INT AS vector_rank, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, owner DESC)::INT AS graph_rank FROM b),
+            f AS (SELECT *, 1.0::DOUBLE / (60 + vector_rank) + 1.0::DOUBLE / (60 + graph_rank) AS score FROM r),
+            o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vector_rank, graph_rank, owner)::INT AS hybrid_rank FROM f)
+            SELECT query_id, owner, vector_rank, graph_rank, round(score, 9) AS rrf_score, hybrid_rank FROM o WHERE hybrid_rank <= 10""",
+        "evidence_check": f"""WITH {_HITS}, x AS (SELECT query_id, owner, max(similarity) AS best, count(*) AS n FROM h JOIN papers ON paper_id = owner WHERE length(abstract) > 0 GROUP BY 1, 2),
+            y AS (SELECT query_id, count(*) AS p, count(*) FILTER (best >= 0.45) AS rel, sum(n)::BIGINT AS c FROM x GROUP BY 1),
+            z AS (SELECT q.query_id, coalesce(p, 0) AS evidence_papers, coalesce(rel, 0) AS relevant_papers, coalesce(c, 0) AS evidence_chunks FROM (SELECT DISTINCT query_id FROM h) q LEFT JOIN y USING (query_id)),
+            r AS (SELECT *, array_to_string(list_filter([CASE WHEN evidence_papers < 3 THEN 'evidence_papers' END, CASE WHEN relevant_papers < 2 THEN 'relevant_papers' END,
+                CASE WHEN evidence_chunks < 4 THEN 'evidence_chunks' END], lambda v: v IS NOT NULL), ',') AS reasons FROM z) SELECT *, reasons = '' AS can_generate FROM r""",
+        "entity_mentions": _mentions(),
+        "article_cleaning": f"""SELECT news_id, md5(array_to_string(CASE WHEN len({lines}) > 0 AND {bare(lines + '[1]')} = {bare('title_original')} THEN {lines}[2:] ELSE {lines} END, chr(10))) AS digest FROM news""",
+        "load_checks": _load_checks(),
+        "allocated_ids": "SELECT openalex_id, (SELECT coalesce(max(paper_id), 0) FROM papers) + row_number() OVER (ORDER BY openalex_id) AS paper_id FROM (SELECT DISTINCT openalex_id FROM raw_papers WHERE openalex_id IS NOT NULL)",
+        "unsynced_documents": "SELECT 'papers' AS kind, source, count(*) AS n FROM papers WHERE NOT coalesce(graph_synced, false) GROUP BY source UNION ALL SELECT 'news', source, count(*) FROM news WHERE NOT coalesce(graph_synced, false) GROUP BY source",
+        "news_first_deliveries": f"SELECT count(DISTINCT {url('url')}) AS n FROM news WHERE collected_at IS NOT NULL",
+        "event_windows": "SELECT epoch(date_trunc('hour', ts))::BIGINT AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+        "p3_found": f"""WITH RECURSIVE {_KEYS}, e AS (SELECT DISTINCT x.paper_id AS a, y.paper_id AS b FROM k x JOIN k y USING (key)),
+            r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS paper_id, min(b) AS group_id FROM r GROUP BY a HAVING count(*) > 1""",
+        "p4_found": f"""WITH s AS (SELECT paper_id, max({split}) AS split FROM paper_splits WHERE {split} IS NOT NULL GROUP BY 1),
+            p AS (SELECT paper_id AS id, split = 'train' AS train, abstract AS t, {title('title')} AS tk, {sha('content_hash')} AS hk, coalesce(len({words('abstract')}), 0) AS nw FROM papers JOIN s USING (paper_id)),
+            big AS (SELECT id, t FROM p WHERE nw >= 20), {_shingles('big')}
+            SELECT DISTINCT least(x.id, y.id) AS paper_id_a, greatest(x.id, y.id) AS paper_id_b FROM p x JOIN p y ON x.train AND NOT y.train
+            WHERE x.hk = y.hk OR ((x.nw < 20 OR y.nw < 20) AND x.tk = y.tk) OR (least(x.id, y.id), greatest(x.id, y.id)) IN (SELECT (a, b) FROM sim)""",
+        "p5_found": "SELECT DISTINCT paper_id, field FROM (SELECT paper_id, unnest(['introduction', 'body', 'conclusion']) AS field, unnest([introduction, body, conclusion]) AS t FROM papers) WHERE length(t) > 4000",
+        "p6_found": f"""WITH docs AS (SELECT 'news' AS kind, news_id AS i, coalesce(title_original, '') || ' ' || content_original AS t FROM news WHERE len({words('content_original')}) >= 30
+                UNION ALL SELECT 'paper', paper_id, fulltext FROM papers WHERE fulltext IS NOT NULL),
+            src AS (SELECT (kind, i) AS id, t FROM docs), {_shingles('src')} SELECT DISTINCT a[1] AS record_kind, a[2] AS id_a, b[2] AS id_b FROM sim WHERE a[1] = b[1]""",
+    }
