@@ -284,7 +284,7 @@ def _contains(words: np.ndarray, phrase: np.ndarray) -> bool:
     return bool(np.any(np.all(np.lib.stride_tricks.sliding_window_view(words, k) == phrase, axis=1)))
 
 
-def leaked(docs: DataFrame, items: DataFrame, block: int = 20000, least: int = 16) -> DataFrame:
+def leaked(docs: DataFrame, items: DataFrame, block: int = 5000, least: int = 16) -> DataFrame:
     """(doc_id, item_id, passage_words, words, edits, has_question, has_answer): every document
     that holds at least `least` words of an item's passage in order, with at most one in five
     changed, dropped or added; and whether it also holds the whole question and answer.
@@ -311,12 +311,11 @@ def leaked(docs: DataFrame, items: DataFrame, block: int = 20000, least: int = 1
 
 
 def _scanner(items: Sequence[tuple[int, str, str | None, str | None]], least: int):
-    packed = pickle.dumps(list(items))
+    # Built once on the driver; a task unpacks it.
+    packed = pickle.dumps((Index([(i, p) for i, p, _, _ in items], least), [_hashed([plain_text(q), plain_text(a)]) for _, _, q, a in items]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pickle.loads(packed)
-        index = Index([(i, p) for i, p, _, _ in rows], least)
-        extra = [_hashed([plain_text(q), plain_text(a)]) for _, _, q, a in rows]
+        index, extra = pickle.loads(packed)
         for batch in tv.slices(batches, "text", 2_000_000):
             ids = batch.column(0).to_pylist()
             texts = batch.column(1).to_pylist()
