@@ -53,7 +53,8 @@ def first_come(records: DataFrame, id_col: str, keys: Sequence[Column], order: S
     on = same[0]
     for c in same[1:]:
         on = on & c
-    headed = rows.alias("r").join(heads.alias("h"), on, "left").select("r.id", F.coalesce("h.head", "r.id").alias("head"))
+    # Rows without any key stay out of the join: as one group of nulls they would meet in one task.
+    headed = rows.where(some).alias("r").join(heads.alias("h"), on).select("r.id", "h.head").union(rows.where(~some).select("id", F.col("id").alias("head")))
     return headed.join(walked.select(F.col("id").alias("head"), "retained_id"), "head", "left").select(
         F.col("id").alias(id_col), F.coalesce("retained_id", "head").alias("retained_id")
     )

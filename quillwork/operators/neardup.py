@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import textvec as tv
 from .components import components
+from .pairing import bucket_pairs, grid_join
 from .tables import materialize
 
 #: 64-bit words of an odd sketch.
@@ -109,27 +110,6 @@ def _shingle_batches(width: int):
     return run
 
 
-def bucket_pairs(members: DataFrame, bucket: list[str], member: str, block: int = 2000) -> DataFrame:
-    """(bucket, a, b) with a < b: all pairs of members of one bucket, made in blocks.
-
-    A bucket of n members is cut into ceil(n / block) blocks, and each member is sent
-    once per block pair it is part of, so that no task gets more than about two blocks
-    of one bucket, whatever its size. Nothing is capped or dropped.
-    """
-    sizes = members.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1")
-    known = members.join(sizes, bucket)
-    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    mine = F.pmod(F.xxhash64(member), blocks).cast("int")
-    known = known.select(*bucket, F.col(member).alias("m"), blocks.alias("nb"), mine.alias("mine"))
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    sent = known.select(*bucket, "m", "mine", other.alias("o"))
-    keyed = sent.select(*bucket, "m", "mine", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"))
-    left = keyed.select(*bucket, "i", "j", F.col("m").alias("a"), F.col("mine").alias("x"))
-    right = keyed.select(*bucket, "i", "j", F.col("m").alias("b"), F.col("mine").alias("y"))
-    met = left.join(right, [*bucket, "i", "j"]).where("a < b and (i = j or x <> y)")
-    return met.select(*bucket, "a", "b")
-
-
 class NearDuplicates:
     """The near-duplicates of (kind, id, text): texts of one kind whose word shingles
     have at least `threshold` similarity (distinct common / distinct in either).
@@ -179,13 +159,11 @@ class NearDuplicates:
 
     def pairs(self) -> DataFrame:
         """(kind, id_a, id_b), id_a < id_b: all pairs, those inside classes included."""
-        classes = self.links.select("kind", "a", "b").union(
-            self.members.groupBy("kind", "rep").agg(F.count("*").alias("n")).where("n > 1").select("kind", F.col("rep").alias("a"), F.col("rep").alias("b"))
-        )
         one = self.members.select("kind", F.col("rep").alias("a"), F.col("id").alias("x"))
         two = self.members.select("kind", F.col("rep").alias("b"), F.col("id").alias("y"))
-        met = classes.join(one, ["kind", "a"]).join(two, ["kind", "b"]).where("a <> b or x < y")
-        return met.select("kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+        across = grid_join(grid_join(self.links.select("kind", "a", "b"), one, ["kind", "a"], "b", "x"), two, ["kind", "b"], "x", "y").select("kind", "x", "y")
+        inside = bucket_pairs(self.members, ["kind", "rep"], "id").select("kind", F.col("a").alias("x"), F.col("b").alias("y"))
+        return across.union(inside).select("kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
     def groups(self) -> DataFrame:
         """(kind, id, class_id, group_id, n_links): one row per text with shingles. The

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import textvec as tv
+from .pairing import grid_join
 from .tables import materialize
 
 
@@ -95,18 +96,18 @@ def cross_split_overlaps(records: DataFrame, threshold: float = 0.5, width: int
     ev, tr = known.where("is_eval"), known.where("not is_eval")
     slim = lambda d, who, *c: d.select(F.col("id").alias(who), *c)
     no = F.lit(None).cast("double")
-    by_text = (
-        near.join(slim(ev.where("has_text"), "eval_id", F.col("set_hash").alias("e")), "e")
-        .join(slim(tr.where("has_text"), "train_id", F.col("set_hash").alias("t")), "t")
-        .select("eval_id", "train_id", F.lit(False).alias("by_hash"), F.lit(False).alias("by_title"), "containment", "similarity")
-    )
-    by_hash = slim(ev, "eval_id", "hash_key").join(slim(tr, "train_id", "hash_key"), "hash_key").select(
+    by_text = grid_join(
+        grid_join(near, slim(ev.where("has_text"), "eval_id", F.col("set_hash").alias("e")), ["e"], "t", "eval_id"),
+        slim(tr.where("has_text"), "train_id", F.col("set_hash").alias("t")), ["t"], "eval_id", "train_id",
+    ).select("eval_id", "train_id", F.lit(False).alias("by_hash"), F.lit(False).alias("by_title"), "containment", "similarity")
+    hashed = lambda d, who: slim(d, who, "hash_key").where("hash_key is not null")
+    by_hash = grid_join(hashed(ev, "eval_id"), hashed(tr, "train_id"), ["hash_key"], "eval_id", "train_id").select(
         "eval_id", "train_id", F.lit(True).alias("by_hash"), F.lit(False).alias("by_title"), no.alias("containment"), no.alias("similarity")
     )
-    title = lambda d, who, has: slim(d, who, "title_key", F.col("has_text").alias(has))
+    titled = lambda d, who: slim(d, who, "title_key").where("title_key is not null")
     # Every pair of equal titles but those where both have a text: a hot title's members with text never meet each other.
-    short = title(ev.where("not has_text"), "eval_id", "he").join(title(tr, "train_id", "ht"), "title_key")
-    long = title(ev.where("has_text"), "eval_id", "he").join(title(tr.where("not has_text"), "train_id", "ht"), "title_key")
+    short = grid_join(titled(ev.where("not has_text"), "eval_id"), titled(tr, "train_id"), ["title_key"], "eval_id", "train_id")
+    long = grid_join(titled(ev.where("has_text"), "eval_id"), titled(tr.where("not has_text"), "train_id"), ["title_key"], "eval_id", "train_id")
     by_title = short.union(long).select(
         "eval_id", "train_id", F.lit(False).alias("by_hash"), F.lit(True).alias("by_title"), no.alias("containment"), no.alias("similarity")
     )

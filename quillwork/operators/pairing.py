@@ -1,0 +1,46 @@
+"""Joins that list pairs inside groups without giving any task a whole hot group."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BLOCK = 2000
+
+
+def _blocks(n: str):
+    return F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
+
+
+def grid_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str) -> DataFrame:
+    """The equi-join of left and right on keys, the same rows as left.join(right, keys).
+
+    A key with l rows on the left and r on the right is cut into ceil(l / BLOCK) by ceil(r / BLOCK)
+    cells; a left row goes to each cell of its row, a right one to each of its column, so no task
+    lists more than about BLOCK * BLOCK pairs of one key, and rows of other keys are sent once.
+    """
+    keys = list(keys)
+    sizes = left.groupBy(*keys).agg(F.count("*").alias("_l")).join(right.groupBy(*keys).agg(F.count("*").alias("_r")), keys)
+    cell = lambda d, own, own_n, other_n, mine, theirs: (
+        d.join(sizes, keys).withColumn(mine, F.pmod(F.xxhash64(own), _blocks(own_n)).cast("int")).withColumn(theirs, F.explode(F.sequence(F.lit(0), _blocks(other_n) - 1))).drop("_l", "_r")
+    )
+    return cell(left, left_id, "_l", "_r", "_i", "_j").join(cell(right, right_id, "_r", "_l", "_j", "_i"), [*keys, "_i", "_j"]).drop("_i", "_j")
+
+
+def bucket_pairs(members: DataFrame, bucket: Sequence[str], member: str) -> DataFrame:
+    """(bucket, a, b) with a < b: all pairs of members of one bucket, in cells of blocks as in grid_join.
+
+    Buckets of one member are dropped by their count before anything is sent.
+    """
+    bucket = list(bucket)
+    sizes = members.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1")
+    known = members.join(sizes, bucket)
+    mine = F.pmod(F.xxhash64(member), _blocks("n")).cast("int")
+    known = known.select(*bucket, F.col(member).alias("m"), _blocks("n").alias("nb"), mine.alias("mine"))
+    sent = known.select(*bucket, "m", "mine", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
+    keyed = sent.select(*bucket, "m", "mine", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"))
+    left = keyed.select(*bucket, "i", "j", F.col("m").alias("a"), F.col("mine").alias("x"))
+    right = keyed.select(*bucket, "i", "j", F.col("m").alias("b"), F.col("mine").alias("y"))
+    return left.join(right, [*bucket, "i", "j"]).where("a < b and (i = j or x <> y)").select(*bucket, "a", "b")
