@@ -93,6 +93,7 @@ def cross_split_overlaps(records: DataFrame, threshold: float = 0.5, width: int
         .where(F.col("similarity") >= threshold)
         .select("e", "t", "containment", "similarity")
     )
+    near = materialize(near, "near")  # read several times below
     ev, tr = known.where("is_eval"), known.where("not is_eval")
     slim = lambda d, who, *c: d.select(F.col("id").alias(who), *c)
     no = F.lit(None).cast("double")
