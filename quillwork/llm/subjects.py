@@ -114,12 +114,13 @@ class Evidence:
         return total
 
 
-def significant(t: Terms, labels: np.ndarray, sure: np.ndarray, bar: float = 18.0, purity: float = 0.5) -> np.ndarray:
+def significant(t: Terms, labels: np.ndarray, sure: np.ndarray, purity: float = 0.5) -> np.ndarray:
     """The terms of which at least `purity` of the documents have one subject, and more than
     chance allows: the likelihood ratio statistic (twice the log) of their share of it against
-    its share of all documents is at least `bar`, which a few of 100,000 idle terms reach. The
-    same purity must hold among the documents that are `sure` if three or more have the term, so that
+    its share of all documents is at least 2 ln(documents) + 0.6, which few idle terms reach and
+    which grows with the documents as the terms do. The same purity must hold among the documents that are `sure` if three or more have the term, so that
     guessed labels can't turn the function words of a rare language into a subject's."""
+    bar = 2 * np.log(max(len(labels), 1)) + 0.6
     doc_of_sentence = np.repeat(np.arange(len(t.docs) - 1), np.diff(t.docs))
     doc = np.repeat(doc_of_sentence, np.diff(t.at))
     order = np.lexsort((doc, t.values))
@@ -142,7 +143,7 @@ def significant(t: Terms, labels: np.ndarray, sure: np.ndarray, bar: float = 18.
     return v[first[found]]
 
 
-def learn_evidence(t: Terms, labels: np.ndarray, sure: np.ndarray | None = None, rounds: int = 5, smooth: float = 0.5, bar: float = 18.0) -> Evidence:
+def learn_evidence(t: Terms, labels: np.ndarray, sure: np.ndarray | None = None, rounds: int = 5, smooth: float = 0.5) -> Evidence:
     """Weights of the significant terms by expectation maximization over sentences.
 
     labels: documents x subjects, 0 or 1. A sentence of a labelled document is about one of
@@ -151,7 +152,7 @@ def learn_evidence(t: Terms, labels: np.ndarray, sure: np.ndarray | None = None,
     term says nothing and is about none.
     """
     n_docs, k = labels.shape
-    terms = significant(t, labels, np.ones(n_docs, dtype=bool) if sure is None else sure, bar)
+    terms = significant(t, labels, np.ones(n_docs, dtype=bool) if sure is None else sure)
     sentence_doc = np.repeat(np.arange(n_docs), np.diff(t.docs))
     place = np.searchsorted(terms, t.values)
     place[place == len(terms)] = 0
@@ -209,18 +210,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 25) -> np.ndarray:
-    """Weights and bias of a regularized logistic regression (Newton's method)."""
+def _logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float, steps: int = 30) -> np.ndarray:
+    """Weights and bias of a logistic regression, drawn to `prior` (Newton's method): few rows stay near it, many outweigh it."""
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    w = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], l2 * len(x))
-    ridge[-1] = 1e-6
+    w = prior.astype(float).copy()
     for _ in range(steps):
         p = _sigmoid(x @ w)
-        g = x.T @ (p - y) + ridge * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9)
-        d = np.linalg.solve(hess, g)
-        w -= d
+        g = x.T @ (p - y) + strength * (w - prior)
+        d = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w)), g)
+        w -= d * min(1.0, 3.0 / max(np.abs(d).max(), 1e-12))
         if np.abs(d).max() < 1e-6:
             break
     return w
@@ -264,18 +262,18 @@ class Chain:
 
 
 def train_chain(x: np.ndarray, y: np.ndarray) -> Chain:
-    """Classifiers in order of falling frequency. Each is fitted on two thirds of the rows and
-    calibrated (Platt) on the rest."""
-    order = sorted(range(y.shape[1]), key=lambda c: (-y[:, c].sum(), c))
+    """Classifiers in order of falling frequency for document_features (x) and labels (y). Each is fitted on
+    two thirds of the rows and calibrated (Platt) on the rest."""
+    k = y.shape[1]
+    order = sorted(range(k), key=lambda c: (-y[:, c].sum(), c))
     held = np.arange(len(x)) % 3 == 2
     weights, calibration = [], []
     for step, c in enumerate(order):
         full = np.concatenate([x, y[:, order[:step]]], axis=1)
-        w = _logistic(full[~held], y[~held, c])
-        z = full[held] @ w[:-1] + w[-1]
-        a, b = 1.0, 0.0
-        if 0 < y[held, c].sum() < held.sum():
-            a, b = _logistic(z[:, None], y[held, c], 1e-2)
+        prior = np.zeros(full.shape[1] + 1)
+        prior[[k + c, -1]] = 4.0, -2.0  # before any row is seen: a subject that wins a fifth of the sentences
+        w = _logistic(full[~held], y[~held, c], prior, 10.0)
+        a, b = _logistic((full[held] @ w[:-1] + w[-1])[:, None], y[held, c], np.array([1.0, 0.0]), 20.0)
         weights.append(w)
         calibration.append((max(float(a), 0.2), float(b)))
     return Chain(order, weights, calibration)

@@ -50,7 +50,7 @@ def test_beam_search_with_all_beams_is_exact():
     import itertools
 
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(80, 4))
+    x = rng.normal(size=(80, 8))
     y = (x[:, :3] + rng.normal(size=(80, 3)) > 0.3).astype(float)
     chain = S.train_chain(x, y)
     got, p = chain.decode(x, np.ones((80, 3), bool), beams=8)
