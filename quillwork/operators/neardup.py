@@ -125,7 +125,7 @@ class NearDuplicates:
     pair or group. Repeated (kind, id) rows of one text count once.
     """
 
-    def __init__(self, texts: DataFrame, threshold: float = 0.8, width: int = 5, samples: int = 256, band_width: int = 4, margin: float = 0.15):
+    def __init__(self, texts: DataFrame, threshold: float = 0.8, width: int = 5, samples: int = 320, band_width: int = 4, margin: float = 0.15):
         if samples % band_width:
             raise ValueError("band_width must divide samples")
         items = texts.select(F.col("kind").cast("string"), F.col("id").cast("bigint"), "text").where("text is not null and id is not null")
@@ -181,6 +181,6 @@ class NearDuplicates:
         )
 
 
-def recall_at(similarity: float, samples: int = 256, band_width: int = 4) -> float:
+def recall_at(similarity: float, samples: int = 320, band_width: int = 4) -> float:
     """The probability that the bands find a pair of this similarity."""
     return 1 - math.pow(1 - similarity**band_width, samples / band_width)
