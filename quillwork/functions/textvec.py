@@ -7,6 +7,7 @@ Every function works on whole texts; batches are cut by size, never texts.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,8 +55,8 @@ def _word_powers(n: int) -> np.ndarray:
 
 
 def fold(texts: pa.Array) -> pa.Array:
-    """NFKC form in lower case; null becomes the empty text."""
-    return pc.utf8_lower(pc.utf8_normalize(texts.fill_null(""), form="NFKC"))
+    """NFKC form in lower case; null becomes the empty text. (Arrow's own normalization leaves letters and their marks apart.)"""
+    return pa.array([unicodedata.normalize("NFKC", t).lower() if t else "" for t in texts.to_pylist()], pa.string())
 
 
 def codepoints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
