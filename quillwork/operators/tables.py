@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: str | None = None
+_written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,16 +32,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back.
 
     Cuts the lineage: later stages read the files, whichever executors are lost.
+    The files stay until discard or the end of the driver's process.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if not _written:
+        atexit.register(_remove_all)
+    _written.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _remove_all() -> None:
+    for spark, path in _written:
+        try:
+            _remove(spark, path)
+        except Exception:  # the session may be gone by now
+            return
+
+
 def discard(df: DataFrame) -> None:
     """Removes a table that materialize made, once no plan needs it any more."""
-    jvm = df.sparkSession._jvm
     for f in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        if folder.toString().startswith(("file:", shared_dir(df.sparkSession))):
-            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+        folder = f.rsplit("/", 1)[0]
+        if folder in {p for _, p in _written} or folder.removeprefix("file://") in {p.removeprefix("file://") for _, p in _written}:
+            _remove(df.sparkSession, folder)
