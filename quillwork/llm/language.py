@@ -90,8 +90,13 @@ def _segments(texts: Sequence[str], long: int, step: int) -> tuple[str, np.ndarr
     return joined, cuts, np.searchsorted(cuts, at)
 
 
+def squeezed(text: str) -> bytes:
+    """The text as it is compressed: in lower case and without blanks, as capitals and lost blanks say nothing about its language."""
+    return "".join(text.lower().split()).encode("utf-8", "surrogatepass")
+
+
 class Compressors:
-    """A zstandard compressor with a raw-content dictionary for each language."""
+    """A zstandard compressor with a raw-content dictionary for each language; contents and pieces are squeezed."""
 
     def __init__(self, content: Mapping[str, bytes], level: int = 1):
         self.languages = sorted(content)
@@ -135,7 +140,7 @@ def segment_languages(texts: Sequence[str], compressors: Compressors, long: int
     """
     joined, cuts, at = _segments(texts, long, step)
     pieces = [joined[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-    sizes = compressors.sizes([p.strip().encode("utf-8", "surrogatepass") for p in pieces])
+    sizes = compressors.sizes([squeezed(p) for p in pieces])
     best, margin = decide(sizes)
     letters = np.array([sum(map(str.isalpha, p)) if len(p) < 60 else 60 for p in pieces], dtype=np.int64)
     known = (margin >= NARROW) & (letters >= LEAST_LETTERS)
@@ -168,12 +173,12 @@ def fit(rows: Sequence[tuple[str | None, str]], dict_bytes: int = 65536, rounds:
     dict_bytes each. The label only breaks ties: a segment within twice the narrow margin
     counts for its row's label alone.
     """
-    content = {k: v.encode() for k, v in SEEDS.items()}
+    content = {k: squeezed(v) for k, v in SEEDS.items()}
     for _ in range(rounds if rows else 0):
         compressors = Compressors(content)
         joined, cuts, at = _segments([t for _, t in rows], 300, 120)
         pieces = [joined[a:b].strip() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        raw = [squeezed(p) for p in pieces]
         best, margin = decide(compressors.sizes(raw))
         labels = np.repeat([x or "" for x, _ in rows], np.diff(at))
         names = np.array(compressors.languages)[best]
@@ -181,7 +186,7 @@ def fit(rows: Sequence[tuple[str | None, str]], dict_bytes: int = 65536, rounds:
         # Round-robin over rows: the k-th segment of every row comes before any row's k+1-th.
         turn = np.arange(len(pieces)) - np.repeat(at[:-1], np.diff(at))
         order = np.lexsort((np.arange(len(pieces)), turn))
-        new: dict[str, list[bytes]] = {k: [v.encode()] for k, v in SEEDS.items()}
+        new: dict[str, list[bytes]] = {k: [squeezed(v)] for k, v in SEEDS.items()}
         room = {k: dict_bytes - len(v[0]) for k, v in new.items()}
         seen: set[bytes] = set()
         for j in order:

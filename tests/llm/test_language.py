@@ -19,12 +19,12 @@ def test_labels(spark):
 
 def test_runs_cover_the_text_and_find_the_passage():
     en, es, ko, ja, id_ = mixed()
-    c = L.Compressors({k: v.encode() for k, v in L.SEEDS.items()})
-    texts = [en + "\n\n" + es[:400] + "\n\n" + en, ko, ja, id_, "", "   ", "12 34 -- 56", en.replace(" ", ""), es.lower().replace(".", "")]
+    c = L.Compressors({k: L.squeezed(v) for k, v in L.SEEDS.items()})
+    texts = [en + "\n\n" + es[:400] + "\n\n" + en, ko, ja, id_, "", "   ", "12 34 -- 56", en.replace(" ", ""), es.lower().replace(".", ""), en.upper()]
     runs = L.segment_languages(texts, c)
     names = [[c.languages[r[2]] for r in x] for x in runs]
     assert names[0] == ["en", "es", "en"] and names[1:4] == [["ko"], ["ja"], ["id"]] and names[4:6] == [[], []]
-    assert names[7] == ["en"] and names[8] == ["es"]
+    assert names[7] == ["en"] and names[8] == ["es"] and names[9] == ["en"]
     for t, r in zip(texts, runs):
         assert not r or (r[0][0] == 0 and r[-1][1] == len(t) and all(a[1] == b[0] for a, b in zip(r, r[1:])))
     assert abs(runs[0][1][0] - len(en)) < 10
@@ -41,7 +41,7 @@ def test_documents(spark):
     en, es, ko, *_ = mixed()
     rows = [(1, en * 5, "x"), (2, None, "x"), (3, "", "x"), (4, en + "\n" + ko, None), (4, en + "\n" + ko, None)]
     df = spark.createDataFrame(rows, "id bigint, t string, lang string")
-    content = {k: v.encode() for k, v in L.SEEDS.items()}
+    content = {k: L.squeezed(v) for k, v in L.SEEDS.items()}
     got = L.document_languages(df, ["id"], F.col("t"), content).collect()
     by = {r.id: r for r in got}
     assert len(got) == 5 and by[1].lang == "en" and 0 < by[1].confidence <= 1 and by[2].lang is None and by[3].runs == [] and {r.lang for r in by[4].runs} == {"en", "ko"}
