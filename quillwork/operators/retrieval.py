@@ -38,14 +38,9 @@ def vector_search(
     the rows themselves never are. Ties go to the smaller id. Null, all-zero and wrong-length
     vectors match nothing. Queries of null id are left out.
     """
-    asked = queries.select(query_id, query_vector).where(F.col(query_id).isNotNull() & F.col(query_vector).isNotNull()).dropDuplicates([query_id])
-    total = asked.count()
-    shards = max(1, -(-total // block))
-    numbered = asked.withColumn("shard", F.pmod(F.xxhash64(query_id), F.lit(shards)))
     source = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
     found = None
-    for shard in range(shards):
-        own = sorted(((r[0], r[1]) for r in numbered.where(F.col("shard") == shard).select(query_id, query_vector).collect()), key=lambda r: r[0])
+    for own in _query_blocks(queries, query_id, query_vector, block):
         part = source.mapInArrow(_searcher(own, k, exclude_self), "query_id bigint, id bigint, similarity double")
         found = part if found is None else found.union(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
@@ -53,6 +48,15 @@ def vector_search(
     return best.select(F.col("query_id").alias(query_id), F.col("id").alias(id_col), "similarity", "rank")
 
 
+def _query_blocks(queries: DataFrame, query_id: str, query_vector: str, block: int) -> Iterator[list[tuple[int, Sequence[float]]]]:
+    """The queries on the driver, some `block` at a time, each once and in order of their ids; at least one block, which may be empty."""
+    asked = queries.select(query_id, query_vector).where(F.col(query_id).isNotNull() & F.col(query_vector).isNotNull()).dropDuplicates([query_id])
+    shards = max(1, -(-asked.count() // block))
+    numbered = asked.withColumn("shard", F.pmod(F.xxhash64(query_id), F.lit(shards)))
+    for shard in range(shards):
+        yield sorted(((r[0], r[1]) for r in numbered.where(F.col("shard") == shard).select(query_id, query_vector).collect()), key=lambda r: r[0])
+
+
 def _searcher(queries: Sequence[tuple[int, Sequence[float]]], k: int, exclude_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.array([q for q, _ in queries], dtype=np.int64)
@@ -79,6 +83,63 @@ def _searcher(queries: Sequence[tuple[int, Sequence[float]]], k: int, exclude_se
     return run
 
 
+def best_chunks(
+    rows: DataFrame, chunks: DataFrame, queries: DataFrame, id_col: str, vector_col: str, per_owner: int = 1, query_id: str = "query_id",
+    query_vector: str = "query_vector", block: int = 2000, exclude_self: bool = False,
+) -> DataFrame:
+    """(query_id, owner, chunk_id, similarity, owner_rank): the per_owner most similar chunks of every owner for each query, of all vectors.
+
+    chunks: (id_col, chunk_id, owner), the chunks that have a vector. Each batch of vectors is cut to the best of each of its
+    owners before anything is shuffled; no owner is left out, however far it is. Ties go to the smaller chunk.
+    Unusable vectors match nothing, as in vector_search.
+    """
+    held = chunks.groupBy(id_col).agg(F.collect_list(F.struct(F.col("chunk_id").cast("bigint").alias("c"), F.col("owner").cast("bigint").alias("o"))).alias("h"))
+    source = rows.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).join(held, id_col)
+    source = source.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"), F.col("h.c").alias("c"), F.col("h.o").alias("o"))
+    found = None
+    for own in _query_blocks(queries, query_id, query_vector, block):
+        part = source.mapInArrow(_owner_searcher(own, per_owner, exclude_self), "query_id bigint, owner bigint, chunk_id bigint, similarity double")
+        found = part if found is None else found.union(part)
+    return best_per_owner(found, "owner", "query_id", per_owner=per_owner).withColumnRenamed("query_id", query_id)
+
+
+#: Similarities that a task ranks at once.
+CELLS = 2_000_000
+
+
+def _owner_searcher(queries: Sequence[tuple[int, Sequence[float]]], per_owner: int, exclude_self: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = np.array([q for q, _ in queries], dtype=np.int64)
+        asked, good_q = _matrix(pa.array([list(v) for _, v in queries], pa.list_(pa.float64())))
+        ids, asked = ids[good_q], asked[good_q]
+        for batch in batches:
+            vectors, good = _matrix(batch.column(1))
+            if not len(ids) or not good.any() or vectors.shape[1] != asked.shape[1]:
+                continue
+            own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            # A vector may be the chunk of several owners; its similarity is computed once, so that they tie.
+            at = np.repeat(np.arange(len(own)), batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            chunk, owner = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3))
+            by_owner = np.argsort(owner, kind="stable")
+            at, chunk, owner = at[by_owner], chunk[by_owner], owner[by_owner]
+            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            leads = np.arange(len(owner)) - np.repeat(starts, np.diff(np.r_[starts, len(owner)])) < per_owner
+            step = max(1, CELLS // max(len(owner), 1))
+            for a in range(0, len(ids), step):
+                score = asked[a : a + step] @ vectors.T
+                score[:, ~good] = -np.inf
+                if exclude_self:
+                    score[ids[a : a + step, None] == own[None, :]] = -np.inf
+                score = score[:, at]
+                top = np.lexsort((np.broadcast_to(chunk, score.shape), -score, np.broadcast_to(owner, score.shape)), axis=1)[:, leads]
+                best = np.take_along_axis(score, top, 1)
+                keep = np.isfinite(best)
+                q = np.broadcast_to(ids[a : a + step, None], best.shape)[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(owner[top][keep]), pa.array(chunk[top][keep]), pa.array(best[keep])], names=["query_id", "owner", "chunk_id", "similarity"])
+
+    return run
+
+
 def best_per_owner(hits: DataFrame, owner: str, query_id: str = "query_id", chunk: str = "chunk_id", per_owner: int = 1) -> DataFrame:
     """hits with owner_rank: the per_owner most similar chunks of each owner for each query (ties: smaller chunk)."""
     order = Window.partitionBy(query_id, owner).orderBy(F.desc("similarity"), chunk)

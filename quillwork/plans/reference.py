@@ -139,15 +139,23 @@ def _chunk_hits(spark: SparkSession, d: str, k: int = 40) -> DataFrame:
     return found.select("query_id", F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 97).alias("owner"), "similarity")
 
 
+def _best_chunks(spark: SparkSession, d: str, per_owner: int) -> DataFrame:
+    """The best chunks of every owner, of all vectors."""
+    rows, asked = _vectors(spark, d)
+    chunks = rows.select("vec_id", F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 97).alias("owner"))
+    return retrieval.best_chunks(rows, chunks, asked, "vec_id", "embedding", per_owner, exclude_self=True)
+
+
 def best_chunk_per_owner(spark: SparkSession, d: str) -> DataFrame:
-    hits = retrieval.best_per_owner(_chunk_hits(spark, d), "owner", per_owner=2)
+    """The two best chunks of every owner for each query."""
+    hits = _best_chunks(spark, d, 2)
     return hits.select("query_id", "owner", "chunk_id", "owner_rank", F.round("similarity", 6).alias("similarity"))
 
 
 def news_recency_ranking(spark: SparkSession, d: str) -> DataFrame:
-    """News by similarity of their best chunk and recency."""
+    """News by similarity of their best chunk and recency; all news are ranked before any is left out."""
     news = table(spark, d, "news").select("news_id", "published_at")
-    hits = _chunk_hits(spark, d).withColumnRenamed("owner", "news_id").join(news, "news_id")
+    hits = _best_chunks(spark, d, 1).withColumnRenamed("owner", "news_id").join(news, "news_id")
     best = retrieval.news_ranking(hits, _as_of(), 5)
     return best.select("query_id", "news_id", "chunk_id", "recency_score", F.round("ranking_score", 6).alias("ranking_score"), "news_rank")
 

@@ -24,6 +24,26 @@ def test_vector_search_of_nothing(spark):
     assert retrieval.vector_search(df, df.select(F.col("id").alias("query_id"), F.col("v").alias("query_vector")), "id", "v", 3).count() == 0
 
 
+def test_best_chunks_leave_no_owner_out(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(120, 6))
+    # Owner 0 holds 60 chunks near the query, which would fill any 40 nearest; vector 119 is a chunk of two owners.
+    v[:60] = v[0] + 0.01 * v[:60]
+    chunks = [(i, i, 0 if i < 60 else 1 + i % 7) for i in range(120)] + [(119, 500, 99)]
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(120)] + [(900, [0.0] * 6)], "id bigint, v array<double>").repartition(3)
+    held = spark.createDataFrame(chunks + [(900, 900, 1)], "id bigint, chunk_id bigint, owner bigint")
+    asked = df.where("id in (0, 30, 70)").select(F.col("id").alias("query_id"), F.col("v").alias("query_vector"))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = set()
+    for q in (0, 30, 70):
+        for owner in {o for _, _, o in chunks}:
+            own = sorted((-(unit[i] @ unit[q]), c) for i, c, o in chunks if o == owner and i != q)
+            want |= {(q, owner, c, r) for r, (_, c) in enumerate(own[:2], 1)}
+    for block in (1, 1000):
+        got = retrieval.best_chunks(df, held, asked, "id", "v", 2, block=block, exclude_self=True).collect()
+        assert {(r.query_id, r.owner, r.chunk_id, r.owner_rank) for r in got} == want and len(got) == len(want)
+
+
 def test_fusion_and_diversity(spark):
     a = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query_id int, item int, rank int")
     b = spark.createDataFrame([(1, 11, 1), (1, 12, 2)], "query_id int, item int, rank int")
