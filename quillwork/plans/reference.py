@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity
@@ -132,30 +132,45 @@ def vector_search(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+def _chunks(spark: SparkSession, d: str, name: str, key: str) -> DataFrame:
+    """(vec_id, chunk_id, owner): vectors as chunks of all papers or all news, which are dealt out in order of their ids.
+
+    Every vector has an owner and every owner a chunk: the longer of the two lists goes round the shorter one, so with more owners
+    than vectors a vector is a chunk of several owners, each under a chunk_id of its own.
+    """
+    owners = table(spark, d, name).select(F.col(key).alias("owner")).where("owner is not null").distinct()
+    vectors = table(spark, d, "embeddings").where("vec_id is not null and embedding is not null").select("vec_id").distinct()
+    owners, vectors = (quality.with_row_ids(x, "place", -1, [F.col(c)]) for x, c in ((owners, "owner"), (vectors, "vec_id")))
+    n_owners, n_vectors = owners.count(), vectors.count()
+    longer, shorter, n = (owners, vectors, n_vectors) if n_owners > n_vectors else (vectors, owners, n_owners)
+    longer = longer.withColumnRenamed("place", "chunk_id").withColumn("place", F.col("chunk_id") % max(n, 1))
+    return longer.join(shorter, "place").select("vec_id", "chunk_id", "owner")
+
+
 def _chunk_hits(spark: SparkSession, d: str, k: int = 40) -> DataFrame:
-    """Vectors as chunks of papers and news: the owner of a chunk is its id's remainder by 97."""
+    """The k most similar chunks of papers for each query (ties: smaller vector, then smaller chunk)."""
     rows, asked = _vectors(spark, d)
-    found = retrieval.vector_search(rows, asked, "vec_id", "embedding", k, exclude_self=True)
-    return found.select("query_id", F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 97).alias("owner"), "similarity")
+    found = retrieval.vector_search(rows, asked, "vec_id", "embedding", k, exclude_self=True).join(_chunks(spark, d, "papers", "paper_id"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id", "chunk_id")
+    return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("query_id", "chunk_id", "owner", "similarity")
 
 
-def _best_chunks(spark: SparkSession, d: str, per_owner: int) -> DataFrame:
-    """The best chunks of every owner, of all vectors."""
+def _best_chunks(spark: SparkSession, d: str, name: str, key: str, per_owner: int) -> DataFrame:
+    """The best chunks of every paper or news item, of all vectors."""
     rows, asked = _vectors(spark, d)
-    chunks = rows.select("vec_id", F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 97).alias("owner"))
-    return retrieval.best_chunks(rows, chunks, asked, "vec_id", "embedding", per_owner, exclude_self=True)
+    return retrieval.best_chunks(rows, _chunks(spark, d, name, key), asked, "vec_id", "embedding", per_owner, exclude_self=True)
 
 
 def best_chunk_per_owner(spark: SparkSession, d: str) -> DataFrame:
-    """The two best chunks of every owner for each query."""
-    hits = _best_chunks(spark, d, 2)
+    """The two best chunks of every paper for each query."""
+    hits = _best_chunks(spark, d, "papers", "paper_id", 2)
     return hits.select("query_id", "owner", "chunk_id", "owner_rank", F.round("similarity", 6).alias("similarity"))
 
 
 def news_recency_ranking(spark: SparkSession, d: str) -> DataFrame:
     """News by similarity of their best chunk and recency; all news are ranked before any is left out."""
     news = table(spark, d, "news").select("news_id", "published_at")
-    hits = _best_chunks(spark, d, 1).withColumnRenamed("owner", "news_id").join(news, "news_id")
+    hits = _best_chunks(spark, d, "news", "news_id", 1).withColumnRenamed("owner", "news_id").join(news, "news_id")
     best = retrieval.news_ranking(hits, _as_of(), 5)
     return best.select("query_id", "news_id", "chunk_id", "recency_score", F.round("ranking_score", 6).alias("ranking_score"), "news_rank")
 
@@ -186,8 +201,6 @@ def graph_related(spark: SparkSession, d: str) -> DataFrame:
 def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Owners found by vectors and by label neighbourhood, fused by reciprocal ranks."""
     best = retrieval.best_per_owner(_chunk_hits(spark, d), "owner")
-    from pyspark.sql import Window
-
     by_vector = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id"))).select("query_id", "owner", "rank")
     counted = _chunk_hits(spark, d).groupBy("query_id", "owner").agg(F.count("*").alias("n"))
     by_count = counted.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), F.desc("owner")))).select("query_id", "owner", "rank")
