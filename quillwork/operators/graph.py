@@ -61,6 +61,21 @@ def related(edges: DataFrame, seeds: DataFrame, types: list[str], limit: int) ->
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def related_to_sets(edges: DataFrame, seeds: DataFrame, types: list[str], limit: int, set_id: str = "query_id") -> DataFrame:
+    """(set_id, related, relation_score, rank): the papers within one or two hops of any seed of a set, without the seeds themselves,
+    by their number of paths from all seeds; the first `limit` per set (ties: smaller name). seeds: set_id and `seed`."""
+    used = edges.where(F.col("type").isin(*types)).select("src", "dst").distinct()
+    both = used.union(used.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    seeds = seeds.select(set_id, "seed").distinct()
+    # Paths that meet at one node are counted together before the second hop is joined.
+    first = seeds.join(both, F.col("seed") == F.col("src")).groupBy(set_id, F.col("dst").alias("mid")).agg(F.count("*").alias("n"))
+    second = first.join(both, F.col("mid") == F.col("src")).select(set_id, F.col("dst").alias("related"), "n")
+    paths = first.select(set_id, F.col("mid").alias("related"), "n").union(second).where("related like 'Paper:%'")
+    counted = paths.groupBy(set_id, "related").agg(F.sum("n").alias("relation_score")).join(seeds.withColumnRenamed("seed", "related"), [set_id, "related"], "left_anti")
+    order = Window.partitionBy(set_id).orderBy(F.desc("relation_score"), "related")
+    return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+
 def _joined(words: Column, n: int):
     return lambda i: F.array_join(F.slice(words, i, n), " ")
 

@@ -199,12 +199,16 @@ def graph_related(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
-    """Owners found by vectors and by label neighbourhood, fused by reciprocal ranks."""
+    """Papers found by vectors and papers that share keywords with these, fused by reciprocal ranks.
+
+    The seeds are the papers of a query's nearest chunks; a seed is not found by the graph again.
+    """
     best = retrieval.best_per_owner(_chunk_hits(spark, d), "owner")
     by_vector = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id"))).select("query_id", "owner", "rank")
-    counted = _chunk_hits(spark, d).groupBy("query_id", "owner").agg(F.count("*").alias("n"))
-    by_count = counted.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), F.desc("owner")))).select("query_id", "owner", "rank")
-    fused = retrieval.reciprocal_rank_fusion({"vector": by_vector, "graph": by_count}, "owner", TOP_K)
+    seeds = by_vector.select("query_id", F.concat(F.lit("Paper:"), F.col("owner").cast("string")).alias("seed"))
+    related = graph.related_to_sets(_edges(spark, d), seeds, ["HAS_KEYWORD"], TOP_K)
+    by_graph = related.select("query_id", F.substring("related", len("Paper:") + 1, 20).cast("bigint").alias("owner"), "rank")
+    fused = retrieval.reciprocal_rank_fusion({"vector": by_vector, "graph": by_graph}, "owner", TOP_K)
     return fused.select("query_id", "owner", "vector_rank", "graph_rank", F.round("rrf_score", 9).alias("rrf_score"), "hybrid_rank")
 
 

@@ -30,3 +30,15 @@ def test_every_paper_and_news_item_can_be_ranked(spark, folder):
     assert {(r.query_id, r.owner) for r in got} == {(q, 200 + 3 * i) for q in (0, 50, 100) for i in range(30)}
     assert reference.news_recency_ranking(spark, folder).count() == 15
     assert reference.evidence_check(spark, folder).where("evidence_chunks = 40 and can_generate").count() == 3
+
+
+def test_fusion_reaches_papers_through_the_graph(spark, tmp_path):
+    """Papers 100 to 149 have chunks far from the query; 149 shares a keyword with the 40 near ones."""
+    d = str(tmp_path)
+    near, far = [[1.0, 0.001 * i] for i in range(41)], [[-1.0, 0.001 * i] for i in range(9)]
+    spark.createDataFrame(list(enumerate(near + far)), "vec_id bigint, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+    papers = [(100 + i, None, ["shared"] if i in (3, 5, 49) else [f"own{i}"], None, "text") for i in range(50)]
+    spark.createDataFrame(papers, "paper_id bigint, authors string, keywords array<string>, source string, abstract string").write.parquet(f"{d}/papers.parquet")
+    got = {r.owner: r for r in reference.hybrid_fusion(spark, d).collect()}
+    assert got[149].graph_rank == 1 and got[149].vector_rank is None and got[101].vector_rank == 1 and got[101].graph_rank is None
+    assert len(got) == 10

@@ -70,6 +70,15 @@ def test_graph(spark):
     assert [(r.related, r.relation_score) for r in graph.related(edges, seeds, ["HAS_KEYWORD"], 5).orderBy("rank").collect()] == [("Paper:2", 2), ("Paper:4", 1)]
 
 
+def test_related_to_sets_counts_the_paths_of_all_seeds(spark):
+    rows = [("Paper:1", "Keyword:a"), ("Paper:2", "Keyword:a"), ("Paper:2", "Keyword:b"), ("Paper:3", "Keyword:a"), ("Paper:3", "Keyword:b"), ("Paper:4", "Keyword:b"), ("Paper:5", "Keyword:c")]
+    edges = spark.createDataFrame([(*r, "HAS_KEYWORD") for r in rows] + [("Paper:5", "Source:s", "PUBLISHED_BY"), ("Paper:1", "Source:s", "PUBLISHED_BY")], "src string, dst string, type string")
+    seeds = spark.createDataFrame([(7, "Paper:1"), (7, "Paper:2"), (7, "Paper:2"), (8, "Paper:5"), (9, "Paper:4")], "query_id int, seed string")
+    got = {(r.query_id, r.related, r.relation_score, r["rank"]) for r in graph.related_to_sets(edges, seeds, ["HAS_KEYWORD"], 5).collect()}
+    assert got == {(7, "Paper:3", 3, 1), (7, "Paper:4", 1, 2), (9, "Paper:2", 1, 1), (9, "Paper:3", 1, 2)}
+    assert graph.related_to_sets(edges, seeds, ["HAS_KEYWORD"], 1).count() == 2
+
+
 def test_mentions(spark):
     df = spark.createDataFrame([(1, "The Blue-Whale band and bts."), (2, "bluewhale BTSX"), (3, None), (4, "Twin")], "id bigint, t string")
     catalogue = [("g1", "Group", ["BTS", "Blue Whale"]), ("a", "Group", ["Twin"]), ("b", "Person", ["twin"])]
