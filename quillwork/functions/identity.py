@@ -47,6 +47,12 @@ def url_or_doi_key(url: Column) -> Column:
     return F.coalesce(F.concat(F.lit("doi:"), linked), F.concat(F.lit("url:"), url_key(url)))
 
 
+def openalex_key(value: Column) -> Column:
+    """The OpenAlex work id of a link to it, in upper case; null if there is none."""
+    found = F.upper(F.regexp_extract(value, r"(?i)(?:https?://)?openalex\.(?:example|org)/(W[0-9]+)", 1))
+    return F.when(found != "", found)
+
+
 def hash_key(content_hash: Column) -> Column:
     """The hex digest in lower case; null unless it has 64 digits, and for the empty text."""
     digest = _none_if_not(F.lower(F.trim(content_hash)), r"^[0-9a-f]{64}$")

@@ -64,6 +64,7 @@ def existing_match(incoming: DataFrame, id_col: str, existing: DataFrame, keys:
     """incoming's ids with reason: the first of the keys (in order) whose value some existing record has, else null.
 
     keys: name -> (key of an incoming record, key of an existing one). One shuffle: all keys are looked up together.
+    An id may have several rows, one for each value of its keys; any of them can match.
     """
     known = None
     for name, (_, theirs) in keys.items():

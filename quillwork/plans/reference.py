@@ -46,14 +46,15 @@ def news_url_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def raw_existing_match(spark: SparkSession, d: str) -> DataFrame:
-    """Raw papers that are already stored, with the first key that says so."""
-    raw = table(spark, d, "raw_papers").where("openalex_id is not null")
-    raw = raw.groupBy("openalex_id").agg(F.max(identity.doi_key(F.col("doi"))).alias("doi"), F.max(dedupe.normalized_title(F.col("title"))).alias("title"))
+    """Raw papers that are already stored, with the first key that says so: any DOI of the work, any of its URLs, its OpenAlex id."""
+    raw = table(spark, d, "raw_papers").where("openalex_id is not null").select("openalex_id", "doi", F.explode_outer("source_locations.url").alias("url"))
     papers = table(spark, d, "papers")
+    ids = F.array(F.upper("openalex_id"), *(identity.openalex_key(F.col(c)) for c in ("openalex_id", "source_url")))
+    papers = papers.select("doi", "source_url", F.explode(F.array_distinct(ids)).alias("openalex_id"))
     keys = {
-        "doi": (F.col("doi"), identity.doi_key(F.col("doi"))),
-        "openalex_id": (F.upper("openalex_id"), F.upper("openalex_id")),
-        "title": (F.col("title"), dedupe.normalized_title(F.col("title"))),
+        "doi": (identity.doi_key(F.col("doi")), identity.doi_key(F.col("doi"))),
+        "source_url": (identity.url_or_doi_key(F.col("url")), identity.url_or_doi_key(F.col("source_url"))),
+        "openalex_id": (F.upper("openalex_id"), F.col("openalex_id")),
     }
     return dedupe.existing_match(raw, "openalex_id", papers, keys)
 

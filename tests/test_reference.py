@@ -42,3 +42,17 @@ def test_fusion_reaches_papers_through_the_graph(spark, tmp_path):
     got = {r.owner: r for r in reference.hybrid_fusion(spark, d).collect()}
     assert got[149].graph_rank == 1 and got[149].vector_rank is None and got[101].vector_rank == 1 and got[101].graph_rank is None
     assert len(got) == 10
+
+
+def test_existing_match_takes_all_dois_and_urls_of_a_work(spark, tmp_path):
+    d = str(tmp_path)
+    raw = [
+        ("W1", "10.1000/b", []), ("W1", "10.1000/a", None), ("W2", None, ["https://x.example/1", "http://www.y.example/2/?utm_source=f"]),
+        ("W3", "10.1000/none", ["https://z.example"]), ("w4", None, None), ("W5", None, [None]), ("W6", "10.1000/a", ["https://y.example/2"]), ("W7", None, ["https://y.example/2"]), (None, "10.1000/a", None),
+    ]
+    raw = [(i, doi, urls and [(u,) for u in urls], "T") for i, doi, urls in raw]
+    spark.createDataFrame(raw, "openalex_id string, doi string, source_locations array<struct<url string>>, title string").write.parquet(f"{d}/raw_papers.parquet")
+    papers = [(1, None, "10.1000/A", None, "T"), (2, None, None, "https://y.example/2", None), (3, "W4", None, None, None), (4, None, None, "https://openalex.org/w3", None), (5, "W7", None, None, None)]
+    spark.createDataFrame(papers, "paper_id bigint, openalex_id string, doi string, source_url string, title string").write.parquet(f"{d}/papers.parquet")
+    got = {r.openalex_id: r.reason for r in reference.raw_existing_match(spark, d).collect()}
+    assert got == {"W1": "doi", "W2": "source_url", "W3": "openalex_id", "w4": "openalex_id", "W5": None, "W6": "doi", "W7": "source_url"}
