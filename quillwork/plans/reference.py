@@ -26,6 +26,15 @@ LIMITS = {
     "papers": {"title": 500, "authors": None, "abstract": None, "source": 200, "doi": 255, "language": 10, "content_hash": 64, "keywords": None},
     "news": {"title_original": 500, "original_language": 10, "source": 200, "category": 100, "content_hash": 64, "keywords": None},
 }
+#: All text columns that are stored: those of LIMITS, which the SQL reads too, and the rest.
+STORED = {
+    "papers": LIMITS["papers"] | dict.fromkeys(("introduction", "body", "conclusion", "source_url")),
+    "news": LIMITS["news"] | {"title_en_for_rag": 500} | dict.fromkeys(("content_original", "content_en_for_rag", "url")),
+}
+REQUIRED = {
+    "papers": ("paper_id", ("title", "source_url")),
+    "news": ("news_id", ("title_original", "content_original", "url", "title_en_for_rag", "content_en_for_rag", "published_at")),
+}
 TOP_K = 10
 
 
@@ -232,11 +241,11 @@ def article_cleaning(spark: SparkSession, d: str) -> DataFrame:
 
 
 def load_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of papers and news that can't be stored, with every reason."""
+    """Rows of papers and news that can't be stored: missing fields, NUL characters and lengths, with every reason."""
     out = None
-    for name, key, required in (("papers", "paper_id", ("title", "source_url")), ("news", "news_id", ("title_original", "content_original", "url"))):
+    for name, (key, required) in REQUIRED.items():
         df = table(spark, d, name)
-        bad = df.select(F.lit(name).alias("kind"), F.col(key).alias("id"), F.array_join(documents.load_errors(df, LIMITS[name], required), ",").alias("errors")).where("errors <> ''")
+        bad = df.select(F.lit(name).alias("kind"), F.col(key).alias("id"), F.array_join(documents.load_errors(df, STORED[name], required), ",").alias("errors")).where("errors <> ''")
         out = bad if out is None else out.union(bad)
     return out
 
