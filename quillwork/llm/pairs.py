@@ -135,7 +135,7 @@ def features(parts: Sequence[str], question: str, title: str, lexical: bool = Tr
             continue
         masked = ["<name>" if r[:1].isupper() and (i or any(map(str.isdigit, r)) or not r[1:].islower()) and r != "I" and not r.startswith(("I'", "I’")) else w for i, (r, w) in enumerate(zip(raw, words))]
         masked = ["<number>" if w.isdigit() else w for w in masked]
-        f += [f"w={w}" for w in masked[:60]] + [f"b={a} {b}" for a, b in zip(masked[:60], masked[1:60])]
+        f += [f"w={w}" for w in masked] + [f"b={a} {b}" for a, b in zip(masked, masked[1:])]
         out.append(sorted({_h(x) for x in f}))
     return out
 

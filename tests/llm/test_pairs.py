@@ -64,3 +64,9 @@ def test_table(spark, tagger):
     got = {r.id: r.defect for r in P.tag_pairs(df, tagger).collect()}
     assert got == {1: "empty", 2: None}
     assert P.tag_pairs(df.limit(0), tagger).count() == 0
+
+
+def test_all_words_of_a_long_clause_are_features():
+    head, tail = " ".join(f"word{i}x" for i in range(80)), " harbours and cities"
+    refused, answered = (P.features([head + middle + tail], "", "")[0] for middle in (" i cannot comply with", " they often traded with"))
+    assert {P._h("w=cannot"), P._h("b=cannot comply")} <= set(refused) and refused != answered
