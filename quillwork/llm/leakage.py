@@ -19,8 +19,15 @@ K1 = 1.2
 BLOCK = 32
 #: Words of an index term.
 WIDTH = 3
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
-_INLINE = re.compile(r"</?(?:b|i|u|em|strong|span|a|sub|sup|mark|font|small)(?:\s[^<>]{0,200})?>", re.IGNORECASE)
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
+_COMMENT = re.compile(r"<!--.*?-->", re.DOTALL)
+_INLINE = re.compile(r"</?(?:b|i|u|em|strong|span|a|sub|sup|mark|font|small)(?:\s[^<>]*)?>", re.IGNORECASE)
+
+
+def without_comments(text: str) -> str:
+    """The text without <!-- comments -->; one that isn't closed stays. Linear, as nothing is searched beyond the last end."""
+    end = text.rfind("-->") + 3
+    return _COMMENT.sub("", text[:end]) + text[end:] if end > 2 else text
 
 
 def plain_text(text: str | None) -> str:
@@ -28,7 +35,7 @@ def plain_text(text: str | None) -> str:
     if not text:
         return ""
     if "<" in text:
-        text = _TAG.sub(" ", _INLINE.sub("", text))
+        text = _TAG.sub(" ", _INLINE.sub("", without_comments(text)))
     return html.unescape(text) if "&" in text else text
 
 

@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import textvec as tv
+from .leakage import without_comments
 
-_BLOCK_TAG = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|td|table|section)\b[^<>]{0,200}>", re.IGNORECASE)
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
+_BLOCK_TAG = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|td|table|section)\b[^<>]*>", re.IGNORECASE)
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 #: Hashed one-hot places of a document's source and type.
 PLACES = 32
 
@@ -26,7 +27,7 @@ def _plain(text: str | None) -> str:
     if not text:
         return ""
     if "<" in text:
-        text = _TAG.sub("", _BLOCK_TAG.sub("\n", text))
+        text = _TAG.sub("", _BLOCK_TAG.sub("\n", without_comments(text)))
     return html.unescape(text) if "&" in text else text
 
 

@@ -112,3 +112,11 @@ def test_table(spark, items):
         got = sorted((r.doc_id, r.item_id, r.edits) for r in G.leaked(docs, table, block=block).collect())
         assert got == [(1, 3, 0), (1, 3, 0), (4, 5, 0)]
     assert G.leaked(docs.limit(0), table).count() == 0 and G.leaked(docs, table.limit(0)).count() == 0
+
+
+def test_long_tags_and_comments_are_markup():
+    link = f'<a href="https://x.example/{"w " * 300}">'
+    style = f'<p style="{"m " * 300}">'
+    assert G.plain_text(f"one {link}two</a> th<!-- <b> {'n ' * 300} -->ree{style}four <!-- open").split() == ["one", "two", "three", "four", "<!--", "open"]
+    assert G.plain_text("<!--> a <b -->") == "" and G.plain_text("a --> b < c") == "a --> b < c"
+    assert len(G.plain_text("<!-- <a " * 100_000)) == 800_000

@@ -83,3 +83,8 @@ def test_table(spark):
     assert len(out) == 202 and out[900].subjects == [] and out[901].subjects == []
     assert np.mean([[x.subject for x in out[i].subjects] == r[4] for i, r in enumerate(data)]) > 0.85
     assert S.document_subjects(docs.limit(0), model).count() == 0
+
+
+def test_long_tags_and_comments_are_markup():
+    style = f'<p style="{"m " * 300}">'
+    assert S._plain(f"One.{style}Two <a href='{'w ' * 300}'>three</a><!-- {'n ' * 300} -->.") == "One.\nTwo three."
