@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 RECENCY_WEIGHT, REPEAT_COST, REPEAT_MOST, RRF_K = 0.08, 0.015, 4, 60
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit rows of a list column, and which of its rows are usable (no null, not all zero)."""
+def _matrix(column: pa.Array | pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows of a list column, and which of its rows are usable (of that size, no null, not all zero)."""
     rows = column.to_pylist()
-    size = max((len(r) for r in rows if r), default=0)
     good = np.array([bool(r) and len(r) == size and None not in r for r in rows], dtype=bool)
     out = np.zeros((len(rows), size), dtype=np.float64)
     for i in np.flatnonzero(good):
@@ -36,7 +35,7 @@ def vector_search(
     Queries are taken to the tasks in blocks of at most `block`; each task keeps its own k best of
     its rows by one matrix product a batch, so what is shuffled is k rows per query and task, and
     the rows themselves never are. Ties go to the smaller id. Null, all-zero and wrong-length
-    vectors match nothing. Queries of null id are left out.
+    vectors match nothing; the right length is the most frequent one of the queries. Queries of null id are left out.
     """
     source = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
     found = None
@@ -49,9 +48,14 @@ def vector_search(
 
 
 def _query_blocks(queries: DataFrame, query_id: str, query_vector: str, block: int) -> Iterator[list[tuple[int, Sequence[float]]]]:
-    """The queries on the driver, some `block` at a time, each once and in order of their ids; at least one block, which may be empty."""
-    asked = queries.select(query_id, query_vector).where(F.col(query_id).isNotNull() & F.col(query_vector).isNotNull()).dropDuplicates([query_id])
-    shards = max(1, -(-asked.count() // block))
+    """The queries on the driver, some `block` at a time, each once and in order of their ids; at least one block, which may be empty.
+
+    Only queries of the most frequent length are taken (of equally frequent ones, the shorter)."""
+    asked = queries.select(query_id, query_vector).where(F.col(query_id).isNotNull() & F.col(query_vector).isNotNull())
+    sizes = asked.groupBy(F.size(query_vector).alias("width")).agg(F.countDistinct(query_id).alias("n")).where("width > 0").collect()
+    best = max(sizes, key=lambda r: (r["n"], -r["width"]), default=None)
+    asked = asked.where(F.size(query_vector) == (best["width"] if best else 0)).dropDuplicates([query_id])
+    shards = max(1, -(-(best["n"] if best else 0) // block))
     numbered = asked.withColumn("shard", F.pmod(F.xxhash64(query_id), F.lit(shards)))
     for shard in range(shards):
         yield sorted(((r[0], r[1]) for r in numbered.where(F.col("shard") == shard).select(query_id, query_vector).collect()), key=lambda r: r[0])
@@ -60,13 +64,14 @@ def _query_blocks(queries: DataFrame, query_id: str, query_vector: str, block: i
 def _searcher(queries: Sequence[tuple[int, Sequence[float]]], k: int, exclude_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.array([q for q, _ in queries], dtype=np.int64)
-        asked, good_q = _matrix(pa.array([list(v) for _, v in queries], pa.list_(pa.float64())))
+        width = len(queries[0][1]) if queries else 0
+        asked, good_q = _matrix(pa.array([list(v) for _, v in queries], pa.list_(pa.float64())), width)
         best_id = np.full((len(ids), k), np.iinfo(np.int64).max)
         best = np.full((len(ids), k), -np.inf)
         for batch in batches:
             own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            vectors, good = _matrix(batch.column(1))
-            if not len(ids) or not good.any() or vectors.shape[1] != asked.shape[1]:
+            vectors, good = _matrix(batch.column(1), width)
+            if not len(ids) or not good.any():
                 continue
             score = asked @ vectors.T
             score[:, ~good] = -np.inf
@@ -110,11 +115,12 @@ CELLS = 2_000_000
 def _owner_searcher(queries: Sequence[tuple[int, Sequence[float]]], per_owner: int, exclude_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.array([q for q, _ in queries], dtype=np.int64)
-        asked, good_q = _matrix(pa.array([list(v) for _, v in queries], pa.list_(pa.float64())))
+        width = len(queries[0][1]) if queries else 0
+        asked, good_q = _matrix(pa.array([list(v) for _, v in queries], pa.list_(pa.float64())), width)
         ids, asked = ids[good_q], asked[good_q]
         for batch in batches:
-            vectors, good = _matrix(batch.column(1))
-            if not len(ids) or not good.any() or vectors.shape[1] != asked.shape[1]:
+            vectors, good = _matrix(batch.column(1), width)
+            if not len(ids) or not good.any():
                 continue
             own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             # A vector may be the chunk of several owners; its similarity is computed once, so that they tie.

@@ -24,6 +24,16 @@ def test_vector_search_of_nothing(spark):
     assert retrieval.vector_search(df, df.select(F.col("id").alias("query_id"), F.col("v").alias("query_vector")), "id", "v", 3).count() == 0
 
 
+def test_overlong_vectors_spoil_no_others(spark):
+    rows = [(i, [1.0, 0.1 * i]) for i in range(20)] + [(50, [1.0] * 5), (51, [1.0])]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>").coalesce(1)
+    asked = df.where("id in (0, 5, 10, 50)").select(F.col("id").alias("query_id"), F.col("v").alias("query_vector"))
+    got = retrieval.vector_search(df, asked, "id", "v", 30).collect()
+    assert {(r.query_id, r.id) for r in got} == {(q, i) for q in (0, 5, 10) for i in range(20)}
+    held = df.select("id", F.col("id").alias("chunk_id"), (F.col("id") % 2).alias("owner"))
+    assert {(r.query_id, r.owner, r.chunk_id) for r in retrieval.best_chunks(df, held, asked, "id", "v").where("query_id = 10").collect()} == {(10, 0, 10), (10, 1, 11)}
+
+
 def test_best_chunks_leave_no_owner_out(spark):
     rng = np.random.default_rng(5)
     v = rng.normal(size=(120, 6))
