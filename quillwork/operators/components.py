@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .skew import spread_join
 from .tables import discard, materialize
 
 
@@ -14,37 +15,33 @@ def star_links(records: DataFrame, id_col: str, keys: Sequence[Column]) -> DataF
     """(v, u): each record with the smallest record that has the same key.
 
     A key of n records gives n - 1 links, never all pairs. The smallest record of a
-    key is found by an aggregate with map-side combine, so a key held by a third
-    of all rows reaches one reducer as one row per map task.
+    key comes from an aggregate with map-side combine, and the records of a hot key
+    are dealt out over tasks before they meet it.
     """
-    pairs = (
-        records.select(F.col(id_col).alias("v"), F.explode(F.array_compact(F.array_distinct(F.array(*keys)))).alias("k"))
-        .where(F.col("v").isNotNull())
-        .distinct()
-    )
+    pairs = records.select(F.col(id_col).alias("v"), F.explode(F.array_compact(F.array_distinct(F.array(*keys)))).alias("k")).where(F.col("v").isNotNull())
+    pairs = materialize(pairs.distinct(), "keys")
     heads = pairs.groupBy("k").agg(F.min("v").alias("u"), F.max("v").alias("top")).where("top > u").drop("top")
-    return pairs.join(heads, "k").where("v <> u").select("v", "u").distinct()
+    return spread_join(pairs, heads, ["k"], "v").where("v <> u").select("v", "u").distinct()
 
 
-def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(v, component): for each node of the links (v, u), the smallest node connected to it.
 
     Hash-to-min: each node holds a cluster, at first itself and its neighbours; in
     a round it sends its cluster to the cluster's minimum and the minimum to all
     members, and every node unites what it receives, until nothing changes. A
-    cluster is kept as rows (v, u), not as one array, so the cluster of a giant
-    component's minimum is spread over the tasks. Each round's rows are written to
+    cluster is kept as rows (v, u), not as one array, and the rows of a giant
+    component's minimum are dealt out over tasks. Each round's rows are written to
     the shared folder. Empty links give an empty result.
     """
     both = links.select("v", "u").union(links.select(F.col("u").alias("v"), F.col("v").alias("u")))
     loops = both.select("v", F.col("v").alias("u"))
     clusters = materialize(both.union(loops).distinct(), "clusters")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         least = clusters.groupBy("v").agg(F.min("u").alias("m"))
-        told = clusters.join(least, "v")
         # One pass over the rows for both messages: to each member its minimum, to the minimum each member.
-        sent = told.select(
+        sent = spread_join(clusters, least, ["v"], "u").select(
             F.explode(
                 F.array(
                     F.struct(F.col("u").alias("v"), F.col("m").alias("u")),
@@ -57,11 +54,8 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
         discard(clusters)
         clusters = new
         if state == seen:
-            break
+            return clusters.groupBy("v").agg(F.min("u").alias("component"))
         seen = state
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return clusters.groupBy("v").agg(F.min("u").alias("component"))
 
 
 def linked_groups(records: DataFrame, id_col: str, keys: Sequence[Column], group_col: str = "group_id") -> DataFrame:
@@ -92,8 +86,22 @@ def grouped_split(records: DataFrame, id_col: str, keys: Sequence[Column], weigh
     """(id_col, group_id, split): every record once; linked records share group and split.
 
     A record without links is its own group. Null ids are left out.
+
+    The proportions hold for groups, and so nearly for records as long as no group is large. A group of more than a
+    hundredth of all records is too large to be left to chance: there are at most 100 of them, and each, the
+    largest first, goes to the split that is furthest below its share.
     """
     groups = linked_groups(records, id_col, keys)
     ids = records.select(id_col).where(F.col(id_col).isNotNull()).distinct()
-    whole = ids.join(groups, id_col, "left").withColumn("group_id", F.coalesce("group_id", id_col))
-    return whole.withColumn("split", rendezvous_split(F.col("group_id"), weights, seed))
+    whole = materialize(ids.join(groups, id_col, "left").withColumn("group_id", F.coalesce("group_id", id_col)), "groups")
+    total = whole.count()
+    large = whole.groupBy("group_id").agg(F.count("*").alias("n")).where(F.col("n") * 100 > total).orderBy(F.desc("n"), "group_id").limit(100).collect()
+    split = rendezvous_split(F.col("group_id"), weights, seed)
+    if large:
+        positive = {s: w for s, w in sorted(weights.items()) if w > 0}
+        room = {s: w / sum(positive.values()) * total for s, w in positive.items()}
+        for r in large:
+            best = max(room, key=lambda s: (room[s], s))
+            room[best] -= r["n"]
+            split = F.when(F.col("group_id") == F.lit(r["group_id"]), best).otherwise(split)
+    return whole.withColumn("split", split)

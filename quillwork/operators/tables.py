@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: str | None = None
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,8 +38,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     if not _written:
         atexit.register(_remove_all)
-    _written.append((df.sparkSession, path))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[path] = df.sparkSession
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -48,16 +50,16 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def _remove_all() -> None:
-    for spark, path in _written:
+    for path, spark in list(_written.items()):
         try:
             _remove(spark, path)
         except Exception:  # the session may be gone by now
             return
 
 
-def discard(df: DataFrame) -> None:
-    """Removes a table that materialize made, once no plan needs it any more."""
-    for f in df.inputFiles()[:1]:
-        folder = f.rsplit("/", 1)[0]
-        if folder in {p for _, p in _written} or folder.removeprefix("file://") in {p.removeprefix("file://") for _, p in _written}:
-            _remove(df.sparkSession, folder)
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that materialize returned, once no plan needs them any more."""
+    for df in tables:
+        path = getattr(df, "_table_path", None)
+        if path in _written:
+            _remove(_written.pop(path), path)
