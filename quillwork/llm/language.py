@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator, Mapping, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -12,32 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import textvec as tv
-
-# Names of languages as they occur in labels, by ISO 639-1 code.
-LANGUAGE_NAMES = {
-    "en": "eng english inglés inggris 영어 英語",
-    "ko": "kor korean coreano korea 한국어 韓国語",
-    "id": "ind indonesian indonesio indonesia 인도네시아어 インドネシア語",
-    "es": "spa spanish español castellano spanyol 스페인어 スペイン語",
-    "ja": "jpn japanese japonés jepang 일본어 日本語",
-    "zh": "zho chi chinese chino mandarin 중국어 中国語",
-    "fr": "fra fre french français francés 프랑스어 フランス語",
-    "de": "deu ger german deutsch alemán 독일어 ドイツ語",
-    "pt": "por portuguese português 포르투갈어",
-    "it": "ita italian italiano 이탈리아어",
-    "ru": "rus russian русский 러시아어",
-    "ar": "ara arabic العربية 아랍어",
-    "hi": "hin hindi 힌디어",
-    "th": "tha thai 태국어",
-    "vi": "vie vietnamese 베트남어",
-    "ms": "msa may malay melayu 말레이어",
-    "tr": "tur turkish türkçe 터키어",
-    "nl": "nld dut dutch nederlands 네덜란드어",
-    "pl": "pol polish polski 폴란드어",
-    "sv": "swe swedish svenska 스웨덴어",
-    "uk": "ukr ukrainian 우크라이나어",
-    "tl": "tgl fil tagalog filipino 타갈로그어",
-}
+from ..functions.labels import label_code
 
 # A little plain prose in each language, from which the dictionaries start.
 SEEDS = {
@@ -50,15 +26,6 @@ SEEDS = {
 LANGUAGES = tuple(sorted(SEEDS))
 
 
-def label_code(label: Column) -> Column:
-    """The ISO 639-1 code that a label names (any case, region or script subtag, three-letter
-    code or name); null for null, blank and labels that name no known language."""
-    plain = F.regexp_replace(F.lower(F.trim(label)), r"^[\s\p{P}]+|[\s\p{P}]+$", "")
-    names = {name: code for code, words in LANGUAGE_NAMES.items() for name in (code, *words.split())}
-    known = F.create_map(*[F.lit(x) for item in sorted(names.items()) for x in item])
-    return F.coalesce(F.try_element_at(known, plain), F.try_element_at(known, F.regexp_extract(plain, r"^([^\s_\-(/,;]+)", 1)))
-
-
 def _segments(texts: Sequence[str], long: int, step: int) -> tuple[str, np.ndarray, np.ndarray]:
     """All texts joined, the segments' starts (and the end of the last), and the texts'
     offsets into them. Segments are sentences or lines; where one is over `long`
@@ -142,7 +109,7 @@ def segment_languages(texts: Sequence[str], compressors: Compressors, long: int
     pieces = [joined[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
     sizes = compressors.sizes([squeezed(p) for p in pieces])
     best, margin = decide(sizes)
-    letters = np.array([sum(map(str.isalpha, p)) if len(p) < 60 else 60 for p in pieces], dtype=np.int64)
+    letters = np.array([sum(1 for _ in islice(filter(str.isalpha, p), LEAST_LETTERS)) for p in pieces], dtype=np.int64)
     known = (margin >= NARROW) & (letters >= LEAST_LETTERS)
     out = []
     for i in range(len(texts)):

@@ -7,18 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.base import table
 from . import language as lang_id
-from . import leakage, packing, pairs
+from . import corpus, leakage, oracle, packing, pairs
 from . import subjects as topics
 
 #: A second language counts from a passage of so many characters.
 LEAST_PASSAGE = 200
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _paper_text():
     return F.concat_ws("\n\n", "introduction", "body", "conclusion")
 
@@ -124,8 +121,8 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_coverage, p2_found, p2_papers, p2_segments, p7_containers, p7_fill, p8_found, p8_items, p9_found, p9_mix)}
+    return corpus.queries() | {f.__name__: f for f in (p1_found, p1_coverage, p2_found, p2_papers, p2_segments, p7_containers, p7_fill, p8_found, p8_items, p9_found, p9_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
