@@ -54,20 +54,6 @@ def words(c: str) -> str:
     return f"regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+')"
 
 
-def _shingles(source: str) -> str:
-    """CTEs sh(id, g), n(id, n) and sim(a, b) of pairs with similarity of at least a half, from source(id, t)."""
-    return f"""
-    w AS (SELECT id, {words('t')} AS w FROM {source}),
-    sh AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w),
-    n AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
-    met AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM sh x JOIN sh y ON x.g = y.g AND x.id < y.id GROUP BY 1, 2),
-    sim AS (SELECT a, b FROM met JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE c >= 0.5 * (na.n + nb.n - c))"""
-
-
-_KEYS = f"""k AS (SELECT DISTINCT paper_id, key FROM (
-        SELECT paper_id, 'doi:' || {doi('doi')} AS key FROM papers UNION ALL SELECT paper_id, {url_or_doi('source_url')} FROM papers
-        UNION ALL SELECT paper_id, 'hash:' || {sha('content_hash')} FROM papers) WHERE key IS NOT NULL)"""
-
 _HITS = """h AS (SELECT query_id, chunk_id, chunk_id % 97 AS owner, similarity FROM (
         SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS similarity,
             row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) AS r
@@ -142,7 +128,6 @@ def oracle_sql() -> dict[str, str]:
     bare = lambda c: f"regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}_]+', '', 'g')"
     lines = "list_filter(list_transform(string_split_regex(content_original, '\\r\\n|[\\n\\r\\x{2028}\\x{2029}]'), lambda x: trim(regexp_replace(x, '[\\t ]+', ' ', 'g'))), lambda x: x <> '')"
     content = "regexp_replace(lower(fulltext), '[^\\p{L}\\p{N}]+', '', 'g')"
-    split = "CASE WHEN lower(trim(split)) IN ('train', 'training') THEN 'train' WHEN lower(trim(split)) IN ('validation', 'valid', 'val', 'dev') THEN 'validation' WHEN lower(trim(split)) IN ('test', 'testing') THEN 'test' END"
     return {
         "identity_keys": f"SELECT paper_id, {doi('doi')} AS doi_key, {url_or_doi('source_url')} AS url_key, {sha('content_hash')} AS hash_key, {title('title')} AS title_key FROM papers",
         "news_url_keys": f"SELECT url_key, count(*) AS deliveries, min(news_id) AS first_id FROM (SELECT news_id, {url('url')} AS url_key FROM news) WHERE url_key IS NOT NULL GROUP BY url_key",
@@ -203,15 +188,4 @@ def oracle_sql() -> dict[str, str]:
         "unsynced_documents": "SELECT 'papers' AS kind, source, count(*) AS n FROM papers WHERE NOT coalesce(graph_synced, false) GROUP BY source UNION ALL SELECT 'news', source, count(*) FROM news WHERE NOT coalesce(graph_synced, false) GROUP BY source",
         "news_first_deliveries": f"SELECT count(DISTINCT {url('url')}) AS n FROM news WHERE collected_at IS NOT NULL",
         "event_windows": "SELECT epoch(date_trunc('hour', ts))::BIGINT AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
-        "p3_found": f"""WITH RECURSIVE {_KEYS}, e AS (SELECT DISTINCT x.paper_id AS a, y.paper_id AS b FROM k x JOIN k y USING (key)),
-            r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS paper_id, min(b) AS group_id FROM r GROUP BY a HAVING count(*) > 1""",
-        "p4_found": f"""WITH s AS (SELECT paper_id, max({split}) AS split FROM paper_splits WHERE {split} IS NOT NULL GROUP BY 1),
-            p AS (SELECT paper_id AS id, split = 'train' AS train, abstract AS t, {title('title')} AS tk, {sha('content_hash')} AS hk, coalesce(len({words('abstract')}), 0) AS nw FROM papers JOIN s USING (paper_id)),
-            big AS (SELECT id, t FROM p WHERE nw >= 20), {_shingles('big')}
-            SELECT DISTINCT least(x.id, y.id) AS paper_id_a, greatest(x.id, y.id) AS paper_id_b FROM p x JOIN p y ON x.train AND NOT y.train
-            WHERE x.hk = y.hk OR ((x.nw < 20 OR y.nw < 20) AND x.tk = y.tk) OR (least(x.id, y.id), greatest(x.id, y.id)) IN (SELECT (a, b) FROM sim)""",
-        "p5_found": "SELECT DISTINCT paper_id, field FROM (SELECT paper_id, unnest(['introduction', 'body', 'conclusion']) AS field, unnest([introduction, body, conclusion]) AS t FROM papers) WHERE length(t) > 4000",
-        "p6_found": f"""WITH docs AS (SELECT 'news' AS kind, news_id AS i, coalesce(title_original, '') || ' ' || content_original AS t FROM news WHERE len({words('content_original')}) >= 30
-                UNION ALL SELECT 'paper', paper_id, fulltext FROM papers WHERE fulltext IS NOT NULL),
-            src AS (SELECT (kind, i) AS id, t FROM docs), {_shingles('src')} SELECT DISTINCT a[1] AS record_kind, a[2] AS id_a, b[2] AS id_b FROM sim WHERE a[1] = b[1]""",
     }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import identity
 from ..operators import dedupe, documents, graph, quality, retrieval
 from ..streaming.news import first_deliveries, windowed_counts
-from .corpus import paper_keys, table
+from .base import paper_keys, table
 
 #: The moment that recency is measured from.
 AS_OF = datetime.datetime(2026, 1, 1, tzinfo=datetime.timezone.utc)
