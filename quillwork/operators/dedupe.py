@@ -2,62 +2,42 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, star_links
-
-
-def _greedy(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.RecordBatch]:
-    component, index = None, {}
-    for batch in batches:
-        cols = [c.to_pylist() for c in batch.columns]
-        kept = []
-        for row in zip(*cols):
-            if row[1] != component:
-                component, index = row[1], {}
-            keys = [(i, k) for i, k in enumerate(row[2 : 2 + n_keys]) if k is not None]
-            at = next((index[k] for k in keys if k in index), row[0])
-            for k in keys:
-                index[k] = at
-            kept.append(at)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.int64())], names=["id", "retained_id"])
+from .skew import previous_of_key, spread_join
+from .tables import discard, materialize
 
 
 def first_come(records: DataFrame, id_col: str, keys: Sequence[Column], order: Sequence[Column]) -> DataFrame:
     """(id_col, retained_id): for each record, in the given order, the retained record it joins: that of its first
     key, by precedence, already taken; else itself. All its keys then lead to that record.
 
-    The outcome depends on the order, so it is inherently a walk; but records that share no key, even through
-    others, can't meet. Connected components over the keys split the walk; records with equal key tuples but one
-    join the first of them before the walk; and of each component the walk holds only its keys. Null ids are left out;
-    null keys match nothing; a record without keys is retained; repeated ids count once.
+    A taken key leads where the last record before that has it went. So each record follows one earlier record, which needs no
+    walk to be known: the one before it by its first key that any earlier record has. What all follow in the end comes from
+    doubling these steps (as many rounds as the logarithm of the longest chain), each round in a table of its own. No
+    task holds a key's, or a chain's, records. Null ids are left out; null keys match nothing; a record without keys is
+    retained; repeated ids count once.
     """
-    names = [f"k{i}" for i in range(len(keys))]
     rows = records.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("bigint").alias("id"), F.struct(*order, F.col(id_col)).alias("o"), *(F.when(k.isNotNull(), F.xxhash64(F.lit(i), k.cast("string"))).alias(n) for i, (n, k) in enumerate(zip(names, keys))),
+        F.col(id_col).cast("bigint").alias("id"), F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), F.col(id_col).alias("last")).alias("o"),
+        F.array_compact(F.array(*(F.when(k.isNotNull(), F.struct(F.lit(i).alias("place"), F.xxhash64(F.lit(i), k.cast("string")).alias("k"))) for i, k in enumerate(keys)))).alias("ks"),
     ).dropDuplicates(["id"])
-    some = F.coalesce(*(F.col(n) for n in names)).isNotNull()
-    heads = rows.where(some).groupBy(*names).agg(F.min_by("id", "o").alias("head"), F.min("o").alias("o"))
-    links = star_links(heads.select(F.col("head").alias("id"), *names), "id", [F.col(n) for n in names])
-    groups = components(links)
-    walk = heads.join(groups, F.col("head") == F.col("v")).select("head", "component", *names, "o")
-    walked = (
-        walk.repartition("component").sortWithinPartitions("component", "o").select("head", "component", *names)
-        .mapInArrow(lambda batches: _greedy(batches, len(names)), "id bigint, retained_id bigint")
-    )
-    same = [F.col(f"r.{n}").eqNullSafe(F.col(f"h.{n}")) for n in names]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
-    # Rows without any key stay out of the join: as one group of nulls they would meet in one task.
-    headed = rows.where(some).alias("r").join(heads.alias("h"), on).select("r.id", "h.head").union(rows.where(~some).select("id", F.col("id").alias("head")))
-    return headed.join(walked.select(F.col("id").alias("head"), "retained_id"), "head", "left").select(
-        F.col("id").alias(id_col), F.coalesce("retained_id", "head").alias("retained_id")
-    )
+    rows = materialize(rows, "keys")
+    held = previous_of_key(rows.select("id", "o", F.inline("ks")), "k", "o", "id", "before")
+    steps = materialize(held.where("before is not null").groupBy("id").agg(F.min_by("before", "place").alias("to")), "steps")
+    while True:
+        further = spread_join(steps, steps.select(F.col("id").alias("to"), F.col("to").alias("next")), ["to"], "id", "left")
+        new = materialize(further.select("id", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), "steps")
+        done = new.where("moved").isEmpty()
+        discard(steps)
+        steps = new.drop("moved") if done else new.select("id", "to")
+        steps._table_path = new._table_path
+        if done:
+            break
+    return rows.select("id").join(steps, "id", "left").select(F.col("id").alias(id_col), F.coalesce("to", "id").alias("retained_id"))
 
 
 def existing_match(incoming: DataFrame, id_col: str, existing: DataFrame, keys: dict[str, tuple[Column, Column]]) -> DataFrame:
@@ -73,7 +53,7 @@ def existing_match(incoming: DataFrame, id_col: str, existing: DataFrame, keys:
     asked = incoming.select(
         F.col(id_col), F.explode(F.array(*(F.struct(F.lit(i).alias("place"), F.lit(n).alias("name"), mine.alias("key")) for i, (n, (mine, _)) in enumerate(keys.items())))).alias("q")
     ).select(id_col, "q.*")
-    hits = asked.where("key is not null").join(known.distinct(), ["name", "key"], "left_semi")
+    hits = spread_join(asked.where("key is not null"), known.distinct(), ["name", "key"], id_col, "left_semi")
     first = hits.groupBy(id_col).agg(F.min_by("name", "place").alias("reason"))
     return incoming.select(id_col).distinct().join(first, id_col, "left")
 

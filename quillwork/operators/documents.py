@@ -1,53 +1,22 @@
-"""Document structure over DataFrames: page cleaning, sections, article cleaning, token chunks, load checks."""
+"""Document structure over DataFrames: article cleaning, token chunks, load checks."""
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator, Sequence
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import prose
 from ..functions import textvec as tv
-
-DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-# Fixed value: the pre-splitting pattern that belongs to the byte-level vocabularies.
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
+from ..functions import tokens as tk
 
 def _keyed(df: DataFrame, keys: Sequence[str], more: str) -> str:
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     return ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), more])
 
 
-def cleaned_pages(df: DataFrame, keys: Sequence[str], pages: Column) -> DataFrame:
-    """(keys, text, removed_lines, removed_paragraphs) of array<string> pages; see prose.clean_pages. Null pages give an empty text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [prose.clean_pages(p or []) for p in batch.column(len(keys)).to_pylist()]
-            rest = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *rest], names=[*keys, "text", "removed_lines", "removed_paragraphs"])
-
-    return df.select(*keys, pages.alias("_pages")).mapInArrow(run, _keyed(df, keys, "text string, removed_lines int, removed_paragraphs int"))
-
-
-def sections(df: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:
-    """(keys, abstract, introduction, body, conclusion, references) found by headings; see prose.find_sections."""
-    names = ("abstract", "introduction", "body", "conclusion", "references")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tv.slices(batches, "_text"):
-            found = [prose.find_sections(t) for t in batch.column(len(keys)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *(pa.array([f[n] for f in found], pa.string()) for n in names)], names=[*keys, *names])
-
-    return df.select(*keys, text.alias("_text")).mapInArrow(run, _keyed(df, keys, ", ".join(f"{n} string" for n in names)))
-
-
 def clean_article(text: Column, title: Column, footer: str | None = None) -> Column:
     """An article's non-empty lines with single blanks, without a first line that repeats the title, and cut before the
     first line that matches the footer pattern (letter case aside). Null stays null."""
@@ -60,21 +29,24 @@ def clean_article(text: Column, title: Column, footer: str | None = None) -> Col
     return F.array_join(lines, "\n")
 
 
-def token_chunks(df: DataFrame, keys: Sequence[str], fields: Sequence[str], size: int = 700, overlap: int = 100, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
+def token_windows(count: int, size: int, overlap: int) -> list[tuple[int, int]]:
+    """(start, end) of windows of `size` tokens that overlap by `overlap`; the last may be shorter."""
+    if not 0 <= overlap < size:
+        raise ValueError("need 0 <= overlap < size")
+    last = max(0, -(-(count - overlap) // (size - overlap)) - 1)
+    return [(k * (size - overlap), min(k * (size - overlap) + size, count)) for k in range(last + 1)] if count else []
+
+
+def token_chunks(df: DataFrame, keys: Sequence[str], fields: Sequence[str], size: int = 700, overlap: int = 100, tokenizer: str | None = None) -> DataFrame:
     """(keys, section, chunk_index, content, token_count): each field's text cut into windows of `size` tokens that overlap by `overlap`,
     numbered through all fields of a row. Null and blank fields and blank windows give no chunk.
-
-    The vocabulary is read once on the driver and travels with the tasks.
     """
-    prose.token_windows(1, size, overlap)
-    vocabulary = Path(tokenizer).read_bytes()
+    token_windows(1, size, overlap)
+    content = tk.vocabulary(tokenizer)
     n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines()) if a}
-        encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        encoding = tk.encoding(content)
         for batch in tv.slices(batches, fields[-1], 1_000_000):
             rows, names, numbers, contents, counts = [], [], [], [], []
             per_field = [batch.column(n + i).to_pylist() for i in range(len(fields))]
@@ -82,13 +54,13 @@ def token_chunks(df: DataFrame, keys: Sequence[str], fields: Sequence[str], size
                 number = 0
                 for name, texts in zip(fields, per_field):
                     tokens = encoding.encode_ordinary((texts[r] or "").strip())
-                    for a, b in prose.token_windows(len(tokens), size, overlap):
-                        content = encoding.decode(tokens[a:b]).strip()
-                        if content:
+                    for a, b in token_windows(len(tokens), size, overlap):
+                        piece = encoding.decode(tokens[a:b]).strip()
+                        if piece:
                             rows.append(r)
                             names.append(name)
                             numbers.append(number)
-                            contents.append(content)
+                            contents.append(piece)
                             counts.append(b - a)
                             number += 1
             take = pa.array(rows, pa.int64())

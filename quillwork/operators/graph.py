@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quality import bound
+from .skew import grid_join
 
 
 def author_names(authors: Column) -> Column:
@@ -44,34 +45,25 @@ def nodes(edges: DataFrame) -> DataFrame:
 
 
 def related(edges: DataFrame, seeds: DataFrame, types: list[str], limit: int) -> DataFrame:
-    """(seed, related, relation_score, rank): the papers within one or two hops of each seed over edges of the types,
-    in either direction, by their number of paths; the first `limit` per seed (ties: smaller name).
-
-    The first hop is from the few seeds, so only their neighbours' edges are joined; paths are counted before
-    anything is ranked. seeds: one column `seed` of node names; repeated and unknown seeds give nothing more.
-    """
-    used = edges.where(F.col("type").isin(*types)).select("src", "dst").distinct()
-    both = used.union(used.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    first = seeds.distinct().join(both, F.col("seed") == F.col("src")).select("seed", F.col("dst").alias("mid"))
-    # Seeds that meet at one node are counted together before the second hop is joined.
-    second = first.join(both, F.col("mid") == F.col("src")).select("seed", F.col("dst").alias("related"))
-    paths = first.select("seed", F.col("mid").alias("related")).union(second).where("related like 'Paper:%' and related <> seed")
-    counted = paths.groupBy("seed", "related").agg(F.count("*").alias("relation_score"))
-    order = Window.partitionBy("seed").orderBy(F.desc("relation_score"), "related")
-    return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    """(seed, related, relation_score, relation_paths, rank): related_to_sets with each seed as a set of its own. seeds: one column `seed`."""
+    return related_to_sets(edges, seeds.select(F.col("seed").alias("own"), "seed"), types, limit, "own").withColumnRenamed("own", "seed")
 
 
 def related_to_sets(edges: DataFrame, seeds: DataFrame, types: list[str], limit: int, set_id: str = "query_id") -> DataFrame:
-    """(set_id, related, relation_score, rank): the papers within one or two hops of any seed of a set, without the seeds themselves,
-    by their number of paths from all seeds; the first `limit` per set (ties: smaller name). seeds: set_id and `seed`."""
-    used = edges.where(F.col("type").isin(*types)).select("src", "dst").distinct()
-    both = used.union(used.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    seeds = seeds.select(set_id, "seed").distinct()
-    # Paths that meet at one node are counted together before the second hop is joined.
-    first = seeds.join(both, F.col("seed") == F.col("src")).groupBy(set_id, F.col("dst").alias("mid")).agg(F.count("*").alias("n"))
-    second = first.join(both, F.col("mid") == F.col("src")).select(set_id, F.col("dst").alias("related"), "n")
-    paths = first.select(set_id, F.col("mid").alias("related"), "n").union(second).where("related like 'Paper:%'")
-    counted = paths.groupBy(set_id, "related").agg(F.sum("n").alias("relation_score")).join(seeds.withColumnRenamed("seed", "related"), [set_id, "related"], "left_anti")
+    """(set_id, related, relation_score, relation_paths, rank): the papers within one or two hops of any seed of a set over edges of the types, in
+    either direction, without the seeds themselves, by their number of paths from all seeds; the first `limit` per set (ties:
+    smaller name). relation_paths: the edge types of these paths, joined by `>`, in order. seeds: set_id and `seed`; repeated and unknown ones add nothing.
+
+    Paths that meet at one node are counted together before the second hop is joined, and a node that many papers share is joined in cells."""
+    used = edges.where(F.col("type").isin(*types)).select("src", "dst", "type").distinct()
+    both = used.union(used.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type"))
+    seeds = seeds.select(set_id, "seed").where(F.col("seed").isNotNull()).distinct()
+    first = grid_join(seeds.withColumnRenamed("seed", "src"), both, ["src"], set_id, "dst").groupBy(set_id, F.col("dst").alias("src"), F.col("type").alias("by")).agg(F.count("*").alias("n"))
+    second = grid_join(first, both, ["src"], set_id, "dst").select(set_id, F.col("dst").alias("related"), F.concat_ws(">", "by", "type").alias("path"), "n")
+    paths = first.select(set_id, F.col("src").alias("related"), F.col("by").alias("path"), "n").union(second).where("related like 'Paper:%'")
+    per_path = paths.groupBy(set_id, "related", "path").agg(F.sum("n").alias("n"))  # fewer than the square of the types for each paper
+    counted = per_path.groupBy(set_id, "related").agg(F.sum("n").alias("relation_score"), F.array_sort(F.collect_set("path")).alias("relation_paths"))
+    counted = counted.join(seeds.withColumnRenamed("seed", "related"), [set_id, "related"], "left_anti")
     order = Window.partitionBy(set_id).orderBy(F.desc("relation_score"), "related")
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import ranged, spread_join
+
 # Least lengths, shares and score steps of the quality rules.
 LEAST_FULLTEXT, LEAST_SECTION = 5000, {"introduction": 300, "body": 1000, "conclusion": 200}
 TITLE_WINDOW, TITLE_SHARE, DAMAGE_SHARE = 12000, 0.6, 0.005
@@ -13,10 +15,11 @@ REJECTING = ("source_not_acquired", "extraction_failed", "source_title_mismatch"
 
 # Words that say nothing about the support of a sentence.
 SUPPORT_STOPWORDS = (
-    "about across after also among based been between could from have into more most other over paper research result results show shows study such than "
-    "that their there these this those through under using were what when where which while with would kpop korean culture social media global music fandom "
-    "fans digital online analysis the and for are not its can has was one"
-).split()
+    "about", "across", "after", "also", "among", "based", "been", "between", "could", "from", "have", "into", "more", "most", "other", "over", "paper", "research",
+    "result", "results", "show", "shows", "study", "such", "than", "that", "their", "there", "these", "this", "those", "through", "under", "using", "were", "what",
+    "when", "where", "which", "while", "with", "would", "kpop", "korean", "culture", "social", "media", "global", "music", "fandom", "fans", "digital", "online",
+    "analysis", "the", "and", "for", "are", "not", "its", "can", "has", "was", "one",
+)
 
 
 def _terms(text: Column, pattern: str) -> Column:
@@ -38,20 +41,34 @@ def quality_flags(title: Column, fulltext: Column, sections: dict[str, Column])
     return F.array_compact(F.array(*flags))
 
 
-def quality_score(flags: Column, language: Column, confidence: Column, abstract_language: Column) -> Column:
-    """1 less a step per flag, for an uncertain or other language than English, and for another abstract's; 0 at least."""
+def language_flags(language: Column, confidence: Column) -> Column:
+    """array<string>: language_needs_review where the language is unknown or uncertain, non_english_fulltext where it is another one for sure."""
+    unsure = language.isNull() | confidence.isNull() | (confidence < LEAST_CONFIDENCE)
+    return F.array_compact(F.array(F.when(unsure, "language_needs_review").when(language != "en", "non_english_fulltext")))
+
+
+def quality_state(flags: Column, language: Column, confidence: Column, abstract_language: Column, is_repeat: Column | None = None) -> Column:
+    """struct<state, score>. The score is 1 less a step per flag, for an uncertain or other language than English, and for another
+    abstract's; 0 at least. A flag of REJECTING rejects; without flags and steps a paper is ready; all else needs review.
+    A repeat of an earlier full text needs review whatever its state was, and loses one step more."""
     sure = F.coalesce((language == "en") & (confidence >= LEAST_CONFIDENCE), F.lit(False))
-    score = 1.0 - F.least(F.lit(FLAG_COST_MOST), F.size(flags) * FLAG_COST)
-    score = score - F.when(sure, 0.0).otherwise(LANGUAGE_COST) - F.when(F.coalesce(abstract_language == "en", F.lit(False)), 0.0).otherwise(ABSTRACT_COST)
-    return F.round(F.greatest(F.lit(0.0), score), 2)
+    english = F.coalesce(abstract_language == "en", F.lit(False))
+    steps = F.least(F.lit(FLAG_COST_MOST), F.size(flags) * FLAG_COST) + F.when(sure, 0.0).otherwise(LANGUAGE_COST) + F.when(english, 0.0).otherwise(ABSTRACT_COST)
+    score = F.round(F.greatest(F.lit(0.0), 1.0 - steps), 2)
+    state = F.when(F.arrays_overlap(flags, F.array(*map(F.lit, REJECTING))), "rejected").when((F.size(flags) == 0) & sure & english, "ready").otherwise("review_required")
+    if is_repeat is not None:
+        state, score = F.when(is_repeat, "review_required").otherwise(state), F.when(is_repeat, F.round(F.greatest(F.lit(0.0), score - FLAG_COST), 2)).otherwise(score)
+    return F.struct(state.alias("state"), score.alias("score"))
 
 
 def first_of_equal(df: DataFrame, key: Column, order: Column, flag: str = "is_repeat") -> DataFrame:
     """df with flag: whether an earlier row has the same non-null key. The earliest of each key comes from an aggregate with
-    map-side combine, so a key of a third of all rows makes no hot window."""
+    map-side combine; rows without a key meet nothing, and those of a hot key are dealt out over tasks."""
     keyed = df.withColumn("_k", key).withColumn("_o", order)
-    first = keyed.where("_k is not null").groupBy("_k").agg(F.min("_o").alias("_first"))
-    return keyed.join(first, "_k", "left").withColumn(flag, F.coalesce(F.col("_o") > F.col("_first"), F.lit(False))).drop("_k", "_o", "_first")
+    some = keyed.where("_k is not null")
+    first = some.groupBy("_k").agg(F.min("_o").alias("_first"))
+    known = spread_join(some, first, ["_k"], "_o").withColumn(flag, F.col("_o") > F.col("_first")).drop("_first")
+    return known.unionByName(keyed.where("_k is null").withColumn(flag, F.lit(False))).drop("_k", "_o")
 
 
 def relevance(title: Column, abstract: Column, core: str, contexts: dict[str, str]) -> Column:
@@ -121,12 +138,17 @@ METADATA = (
 )
 
 
+# Citations that are taken out of sentences, rules and dots of tables, and limits of a sentence.
+BRACKET_CITATION, YEAR_CITATION = r"\[(?:\d+[\s,;–-]*)+\]", r"\([^)]*\b(?:19|20)\d{2}[a-z]?[^)]*\)"
+RULED, SENTENCE_END = r"(?:\.{3,}|[_=]{3,}|\s[,;:]\s[,;:])", "[.!?][\"'”’]?\\s*$"
+LEAST_WORDS, MOST_WORDS, MOST_NUMBERS, NUMBER_SHARE, LETTER_SHARE = 8, 70, 4, 0.12, 0.55
+
+
 def training_sentences(text: Column) -> Column:
     """array<string>: English sentences fit for training: citations removed, 8 to 70 words, ended by . ! or ?, no metadata, no dotted
     or ruled lines, few numbers, more than 55 % ASCII letters. Null texts give an empty array."""
     t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    t = F.regexp_replace(t, r"\[(?:\d+[\s,;–-]*)+\]", "")
-    t = F.regexp_replace(t, r"\([^)]*\b(?:19|20)\d{2}[a-z]?[^)]*\)", "")
+    t = F.regexp_replace(F.regexp_replace(t, BRACKET_CITATION, ""), YEAR_CITATION, "")
     parts = F.transform(F.split(F.regexp_replace(t, r"([.!?])\s+", "$1\u0001"), "\u0001"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")))
 
     def fit(s: Column) -> Column:
@@ -134,8 +156,8 @@ def training_sentences(text: Column) -> Column:
         numbers = F.size(F.filter(F.split(s, " "), lambda w: w.rlike(r"\d")))
         letters = F.char_length(s) - F.char_length(F.regexp_replace(s, "[a-zA-Z]", ""))
         return (
-            (s != "") & (words >= 8) & (words <= 70) & s.rlike("[.!?][\"'”’]?\\s*$") & ~s.rlike(r"(?:\.{3,}|[_=]{3,}|\s[,;:]\s[,;:])")
-            & ~((numbers >= 4) & (numbers / words >= 0.12)) & (letters / F.char_length(s) > 0.55) & ~s.rlike("(?i)" + "|".join(f"(?:{p})" for p in METADATA))
+            (s != "") & words.between(LEAST_WORDS, MOST_WORDS) & s.rlike(SENTENCE_END) & ~s.rlike(RULED)
+            & ~((numbers >= MOST_NUMBERS) & (numbers / words >= NUMBER_SHARE)) & (letters / F.char_length(s) > LETTER_SHARE) & ~s.rlike("(?i)" + "|".join(f"(?:{p})" for p in METADATA))
         )
 
     return F.filter(parts, fit)
@@ -153,13 +175,11 @@ def section_target(sentences: Column, least: int, most: int) -> Column:
     return F.aggregate(sentences, start, step, lambda acc: F.when(acc.n >= least, F.array_join(acc.s, " ")))
 
 
-def with_row_ids(df: DataFrame, column: str, start: Column | int, order: list[Column]) -> DataFrame:
+def with_row_ids(df: DataFrame, column: str, start: int, order: list[Column]) -> DataFrame:
     """df with consecutive ids from `start` + 1 in the given order, without one global window: rows are range-partitioned by
     the order, numbered inside their partition, and shifted by the sizes of the partitions before."""
-    from .tables import materialize
-
-    placed = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()), "ids")
+    placed = ranged(df, order)
     local = placed.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy("_m")))
     sizes = placed.groupBy("_p").agg(F.count("*").alias("_c"))
-    shift = sizes.withColumn("_s", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a partition
-    return local.join(F.broadcast(shift.select("_p", "_s")), "_p").withColumn(column, F.lit(start) + F.col("_s") + F.col("_n") if isinstance(start, int) else start + F.col("_s") + F.col("_n")).drop("_p", "_m", "_n", "_s")
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a partition
+    return local.join(F.broadcast(sizes.select("_p", before.alias("_s"))), "_p").withColumn(column, F.lit(start) + F.col("_s") + F.col("_n")).drop("_p", "_m", "_n", "_s")

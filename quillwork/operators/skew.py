@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import materialize
+
 BLOCK = 2000
 HOT = 16384
 #: Counters of the heavy-hitter sketch: it misses no key above 3.5 / TRACKED of the rows.
@@ -102,3 +104,24 @@ def bucket_pairs(members: DataFrame, bucket: Sequence[str], member: str) -> Data
         right = keyed.select(*bucket, "i", "j", F.col("m").alias("b"), F.col("mine").alias("y"))
         out = out.select(*bucket, "a", "b").union(left.join(right, [*bucket, "i", "j"]).where("a < b and (i = j or x <> y)").select(*bucket, "a", "b"))
     return out.select(*bucket, "a", "b")
+
+
+def ranged(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """df written in ranges of the order, with the number _p of each row's range and its place _m in it. Ranges are of even size, also where
+    many rows share the first column of the order, as long as they differ in the others."""
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialize(sorted_rows.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()), "ranged")
+
+
+def previous_of_key(df: DataFrame, key: str, order: str, value: str, out: str) -> DataFrame:
+    """df with out: the value of the row before among those of the same key, by the order; null for a key's first row.
+
+    A lag over ranges of (key, order) instead of over keys, so a hot key is spread over many ranges; where a range begins inside a key, the last
+    row of the range before is looked up in a table of one row a range."""
+    placed = ranged(df, [key, order])
+    by_place = Window.partitionBy("_p").orderBy("_m")
+    last = placed.groupBy("_p").agg(F.max_by(F.struct(F.col(key).alias("k"), F.col(value).alias("v")), "_m").alias("_e"))
+    before = last.select("_p", F.lag("_e").over(Window.orderBy("_p")).alias("_e"))  # one row a range
+    own = F.lag(F.struct(F.col(key).alias("k"), F.col(value).alias("v"))).over(by_place)
+    d = placed.withColumn("_b", own).join(F.broadcast(before), "_p").withColumn("_b", F.coalesce("_b", "_e"))
+    return d.withColumn(out, F.when(F.col("_b.k") == F.col(key), F.col("_b.v"))).drop("_p", "_m", "_b", "_e")

@@ -3,7 +3,6 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from quillwork.functions import prose
 from quillwork.operators import documents, quality
 from quillwork.sources import feeds
 from quillwork.streaming import news
@@ -13,27 +12,10 @@ def one(spark, column, schema, row):
     return spark.createDataFrame([row], schema).select(column).first()[0]
 
 
-def test_clean_pages():
-    pages = ["Journal 1\nAlpha beta gam-\nma delta,\nand more.\n1", "Journal 2\nmail me@host.example\nText two.\n2", "Journal 3\nText three.\n3", None]
-    text, lines, copies = prose.clean_pages(pages)
-    assert text == "Alpha beta gamma delta, and more.\n\nText two.\n\nText three." and lines == 7 and copies == 0
-    long = "A paragraph that is repeated word for word and is long enough to be counted as a copy of itself."
-    assert prose.clean_pages([f"{long}\n\n{long}"])[2] == 1
-    assert prose.clean_pages([]) == ("", 0, 0)
-
-
-def test_sections():
-    text = "Abstract: short one.\nIntroduction\nWe begin.\nFigure 1. A caption\n2. Methods\nWe do.\nResults\nWe find.\nConclusion\nWe end.\nReferences\nDoe, J., a title.\n"
-    got = prose.find_sections(text)
-    assert got == {"abstract": "short one.", "introduction": "We begin.", "body": "We do.\n\nWe find.", "conclusion": "We end.", "references": "Doe, J., a title."}
-    assert set(prose.find_sections(None).values()) == {None} and set(prose.find_sections("No headings here.").values()) == {None}
-    assert prose.heading_kind("서론") == "introduction" and prose.heading_kind("method.") is None and prose.heading_kind("3. A Study of Things") == "other"
-
-
 def test_token_windows():
-    assert prose.token_windows(10, 4, 1) == [(0, 4), (3, 7), (6, 10)] and prose.token_windows(0, 4, 1) == [] and prose.token_windows(4, 4, 1) == [(0, 4)]
+    assert documents.token_windows(10, 4, 1) == [(0, 4), (3, 7), (6, 10)] and documents.token_windows(0, 4, 1) == [] and documents.token_windows(4, 4, 1) == [(0, 4)]
     with pytest.raises(ValueError):
-        prose.token_windows(5, 4, 4)
+        documents.token_windows(5, 4, 4)
 
 
 def test_token_chunks(spark):
