@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import base64
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
-from pathlib import Path
 
 import pandas as pd
 import pyarrow as pa
@@ -13,33 +11,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import textvec as tv
+from ..functions import tokens as tk
 from ..operators.tables import materialize
 
-# Fixed value: the pre-splitting pattern that belongs to the byte-level vocabularies.
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-
-
 def token_counts(texts: Sequence[str | None], encoding) -> list[int]:
     return [len(x) for x in encoding.encode_ordinary_batch([t or "" for t in texts], num_threads=1)]
 
 
-def _encoding(vocabulary: bytes):
-    import tiktoken
-
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines()) if a}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
-def document_tokens(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
-    """(doc_id, n_tokens) of every row's whole text; 0 for null and empty texts.
-
-    The vocabulary is read once on the driver and sent to the tasks, so executors need not have the file.
-    """
-    vocabulary = Path(tokenizer).read_bytes()
+def document_tokens(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens) of every row's whole text; 0 for null and empty texts."""
+    vocabulary = tk.vocabulary(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(vocabulary)
+        encoding = tk.encoding(vocabulary)
         for batch in tv.slices(batches, "text"):
             counts = token_counts(batch.column(1).to_pylist(), encoding)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
@@ -209,7 +193,7 @@ def _blocks(items: DataFrame, block: int) -> DataFrame:
     return items.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(count))).repartition(count, "block")
 
 
-def packed(docs: DataFrame, capacity: int = 2048, tokenizer: str = DEFAULT_TOKENIZER, block: int = 4000, slack: float = 0.01) -> DataFrame:
+def packed(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, block: int = 4000, slack: float = 0.01) -> DataFrame:
     """(doc_id, piece_no, start, n_tokens, container_id): every document's place.
 
     A document over the capacity is cut into pieces of `capacity` tokens and a rest; no other is cut.
