@@ -11,7 +11,7 @@ from .skew import previous_of_key, spread_join
 from .tables import discard, materialize
 
 
-def first_come(records: DataFrame, id_col: str, keys: Sequence[Column], order: Sequence[Column]) -> DataFrame:
+def first_come(records: DataFrame, id_col: str, keys: Sequence[Column], order: Sequence[Column], own: Column | None = None) -> DataFrame:
     """(id_col, retained_id): for each record, in the given order, the retained record it joins: that of its first
     key, by precedence, already taken; else itself. All its keys then lead to that record.
 
@@ -19,15 +19,16 @@ def first_come(records: DataFrame, id_col: str, keys: Sequence[Column], order: S
     walk to be known: the one before it by its first key that any earlier record has. What all follow in the end comes from
     doubling these steps (as many rounds as the logarithm of the longest chain), each round in a table of its own. No
     task holds a key's, or a chain's, records. Null ids are left out; null keys match nothing; a record without keys is
-    retained; repeated ids count once.
+    retained; repeated ids count once. Records for which `own` holds join none: they lead to themselves.
     """
     rows = records.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("bigint").alias("id"), F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), F.col(id_col).alias("last")).alias("o"),
         F.array_compact(F.array(*(F.when(k.isNotNull(), F.struct(F.lit(i).alias("place"), F.xxhash64(F.lit(i), k.cast("string")).alias("k"))) for i, k in enumerate(keys)))).alias("ks"),
+        F.coalesce(own if own is not None else F.lit(False), F.lit(False)).alias("own"),
     ).dropDuplicates(["id"])
     rows = materialize(rows, "keys")
-    held = previous_of_key(rows.select("id", "o", F.inline("ks")), "k", "o", "id", "before")
-    steps = materialize(held.where("before is not null").groupBy("id").agg(F.min_by("before", "place").alias("to")), "steps")
+    held = previous_of_key(rows.select("id", "o", "own", F.inline("ks")), "k", "o", "id", "before")
+    steps = materialize(held.where("before is not null and not own").groupBy("id").agg(F.min_by("before", "place").alias("to")), "steps")
     while True:
         further = spread_join(steps, steps.select(F.col("id").alias("to"), F.col("to").alias("next")), ["to"], "id", "left")
         new = materialize(further.select("id", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), "steps")

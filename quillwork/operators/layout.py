@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions.forms import nfkc
 from .quality import bound
 
 # Headings of sections in English, Indonesian and Korean.
@@ -53,16 +51,6 @@ TYPED = ("introduction", "literature_review", "background", "methodology", "resu
 LINE_END = "\r\n|[\n\r\u000b\f\u001c-\u001e\u0085  ]"
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _composed(pages: pd.Series) -> pd.Series:
-    return pages.map(lambda p: p if p is None else [None if x is None else unicodedata.normalize("NFKC", x) for x in p])
-
-
-def nfkc(pages: Column) -> Column:
-    """The NFKC form of each text of an array; arrays of ASCII alone aren't sent to Python."""
-    return F.coalesce(_composed(F.when(F.exists(pages, lambda p: p.rlike(r"[^\x00-\x7F]")), pages)), pages)
-
-
 def _strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
@@ -91,10 +79,9 @@ def cleaned_pages(df: DataFrame, keys: Sequence[str], pages: Column) -> DataFram
     # In sorted order a key that occurs `need` times is the same at two places that far apart.
     again = bound(F.array_sort(edges), lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - need), lambda i: F.when(F.get(s, i) == F.get(s, i + need - 1), F.get(s, i))))
     recurring = F.when(F.size(edges) >= need, F.filter(F.array_distinct(again), lambda k: F.char_length(k) < EDGE_LENGTH)).otherwise(no_text)
-    d = d.withColumn("_r", recurring)
-
     layout = lambda x: x.rlike("(?i)" + "|".join(LAYOUT_LINES)) | (x.contains("@") & (F.char_length(x) < EDGE_LENGTH) & x.rlike(MAIL))
-    d = d.withColumn("_k", F.transform("_p", lambda p: F.filter(p, lambda x: ~(F.array_contains("_r", key(x)) | layout(x)))))
+    # Bound, so that it is computed once a document and not once a line.
+    d = d.withColumn("_k", bound(recurring, lambda r: F.transform("_p", lambda p: F.filter(p, lambda x: ~(F.array_contains(r, key(x)) | layout(x))))))
     text = F.array_join(F.transform("_k", lambda p: F.array_join(p, "\n")), "\n\n")
     text = F.regexp_replace(F.regexp_replace(text, "(?<=[a-z])-\n(?=[a-z])", ""), "(?<=[a-z,;])\n(?=[a-z])", " ")
     d = d.withColumn("_g", F.split(text, r"\n\s*\n"))

@@ -163,16 +163,24 @@ def training_sentences(text: Column) -> Column:
     return F.filter(parts, fit)
 
 
-def section_target(sentences: Column, least: int, most: int) -> Column:
-    """The first sentences, taken while under `least` words or within `most`; null if they come to fewer than `least`."""
-    start = F.struct(F.array().cast("array<string>").alias("s"), F.lit(0).alias("n"), F.lit(False).alias("stop"))
+def section_target_sentences(sentences: Column, least: int, most: int) -> Column:
+    """array<string>: the first sentences, taken while under `least` words or within `most`; null if they come to fewer than `least`."""
+    # A sentence has a word at least, so no more than most + 1 can matter.
+    sizes = F.transform(F.slice(sentences, 1, most + 1), lambda s: F.size(F.split(s, " ")))
+    ends = bound(sizes, lambda n: F.transform(F.sequence(F.lit(0), F.size(n)), lambda i: F.aggregate(F.slice(n, 1, i), F.lit(0), lambda a, x: a + x)))
+
+    def taken(e: Column) -> Column:
+        # e[i]: the words of the first i sentences. The next one is taken if they are too few, or if it ends within `most`.
+        refused = F.filter(F.sequence(F.lit(1), F.size(e)), lambda i: (i == F.size(e)) | ((F.get(e, i - 1) >= least) & (F.get(e, i) > most)) | (F.get(e, i - 1) >= most))
+        count = F.get(refused, F.lit(0)) - 1
+        return F.when(F.get(e, count) >= least, F.slice(sentences, 1, count))
 
-    def step(acc: Column, s: Column) -> Column:
-        n = F.size(F.split(s, " "))
-        stop = acc.stop | (acc.n >= most) | ((acc.n >= least) & (acc.n + n > most))
-        return F.struct(F.when(stop, acc.s).otherwise(F.concat(acc.s, F.array(s))).alias("s"), F.when(stop, acc.n).otherwise(acc.n + n).alias("n"), stop.alias("stop"))
+    return bound(ends, taken)
 
-    return F.aggregate(sentences, start, step, lambda acc: F.when(acc.n >= least, F.array_join(acc.s, " ")))
+
+def section_target(sentences: Column, least: int, most: int) -> Column:
+    """The sentences of section_target_sentences as one text."""
+    return F.array_join(section_target_sentences(sentences, least, most), " ")
 
 
 def with_row_ids(df: DataFrame, column: str, start: int, order: list[Column]) -> DataFrame:

@@ -125,6 +125,8 @@ def _load_checks() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import oracle_training
+
     bare = lambda c: f"regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}_]+', '', 'g')"
     lines = "list_filter(list_transform(string_split_regex(content_original, '\\r\\n|[\\n\\r\\x{2028}\\x{2029}]'), lambda x: trim(regexp_replace(x, '[\\t ]+', ' ', 'g'))), lambda x: x <> '')"
     content = "regexp_replace(lower(fulltext), '[^\\p{L}\\p{N}]+', '', 'g')"
@@ -188,4 +190,4 @@ def oracle_sql() -> dict[str, str]:
         "unsynced_documents": "SELECT 'papers' AS kind, source, count(*) AS n FROM papers WHERE NOT coalesce(graph_synced, false) GROUP BY source UNION ALL SELECT 'news', source, count(*) FROM news WHERE NOT coalesce(graph_synced, false) GROUP BY source",
         "news_first_deliveries": f"SELECT count(DISTINCT {url('url')}) AS n FROM news WHERE collected_at IS NOT NULL",
         "event_windows": "SELECT epoch(date_trunc('hour', ts))::BIGINT AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
-    }
+    } | oracle_training.oracle_sql()

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity
-from ..operators import dedupe, documents, graph, quality, retrieval
+from ..operators import dedupe, documents, graph, layout, quality, retrieval
 from ..streaming.news import first_deliveries, windowed_counts
-from .base import paper_keys, table
+from . import training
+from .base import table
 
 #: The moment that recency is measured from.
 AS_OF = datetime.datetime(2026, 1, 1, tzinfo=datetime.timezone.utc)
@@ -36,6 +37,8 @@ REQUIRED = {
     "news": ("news_id", ("title_original", "content_original", "url", "title_en_for_rag", "content_en_for_rag", "published_at")),
 }
 TOP_K = 10
+# The edges over which papers are related.
+RELATIONS = ["CITES", "RELATED_TO", "HAS_TOPIC", "HAS_KEYWORD"]
 
 
 def _as_of() -> Column:
@@ -77,14 +80,16 @@ def paper_quality_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def paper_quality_state(spark: SparkSession, d: str) -> DataFrame:
-    """Score and state; the second of equal full texts is marked and needs review."""
+    """Flags, score and state of every paper; the second of equal full texts needs review."""
     papers = table(spark, d, "papers").where("paper_id is not null")
     text_key = F.when(F.length("fulltext") > 0, F.sha2(F.regexp_replace(F.lower("fulltext"), r"[^\p{L}\p{N}]+", ""), 256))
     marked = quality.first_of_equal(papers, text_key, F.col("paper_id"))
-    flags = F.when(F.col("is_repeat"), F.concat(_flags(), F.array(F.lit("duplicate_fulltext")))).otherwise(_flags())
-    scored = marked.withColumn("f", flags).withColumn("score", quality.quality_score(F.col("f"), F.col("language"), F.col("language_detection_confidence"), F.col("language_metadata")))
-    state = F.when(F.array_contains("f", "source_title_mismatch"), "rejected").when(F.col("score") == 1.0, "ready").otherwise("review_required")
-    return scored.select("paper_id", "is_repeat", "score", state.alias("state"))
+    language, confidence = F.col("language"), F.col("language_detection_confidence")
+    status = F.array_compact(F.array(F.when(F.col("fulltext_status") == "unavailable", "source_not_acquired").when(F.col("fulltext_status") == "extraction_failed", "extraction_failed"), F.when(F.coalesce(F.length("fulltext"), F.lit(0)) == 0, "no_extracted_text")))
+    flags = F.concat(_flags(), quality.language_flags(language, confidence), status)
+    scored = marked.withColumn("f", flags).withColumn("q", quality.quality_state(F.col("f"), language, confidence, F.col("language_metadata"), F.col("is_repeat")))
+    listed = F.when(F.col("is_repeat"), F.concat("f", F.array(F.lit("duplicate_fulltext")))).otherwise(F.col("f"))
+    return scored.select("paper_id", "is_repeat", F.array_join(listed, ",").alias("flags"), "q.score", "q.state")
 
 
 def paper_relevance(spark: SparkSession, d: str) -> DataFrame:
@@ -121,14 +126,6 @@ def training_sentence_counts(spark: SparkSession, d: str) -> DataFrame:
     return s.select("paper_id", "x.section", F.size("x.s").alias("sentences"), words.alias("words"))
 
 
-def section_targets(spark: SparkSession, d: str) -> DataFrame:
-    """Training targets of English papers' sections, within their word limits."""
-    limits = {"introduction": (50, 130), "body": (100, 180), "conclusion": (40, 110)}
-    parts = [F.struct(F.lit(f).alias("section"), quality.section_target(quality.training_sentences(F.col(f)), *lim).alias("target")) for f, lim in limits.items()]
-    english = F.lower(F.trim("language")).isin("en", "eng", "english")
-    return table(spark, d, "papers").where(english).select("paper_id", F.explode(F.array(*parts)).alias("x")).select("paper_id", "x.section", "x.target").where("target is not null")
-
-
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, d, "embeddings")
     asked = rows.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
@@ -205,7 +202,8 @@ def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
 def graph_related(spark: SparkSession, d: str) -> DataFrame:
     """Papers that share keywords with each paper whose id is divisible by 50."""
     seeds = table(spark, d, "papers").where(F.col("paper_id") % 50 == 0).select(F.concat(F.lit("Paper:"), F.col("paper_id").cast("string")).alias("seed"))
-    return graph.related(_edges(spark, d), seeds, ["HAS_KEYWORD"], TOP_K)
+    found = graph.related(_edges(spark, d), seeds, RELATIONS, TOP_K)
+    return found.withColumn("relation_paths", F.array_join("relation_paths", ","))
 
 
 def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -216,7 +214,7 @@ def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
     best = retrieval.best_per_owner(_chunk_hits(spark, d), "owner")
     by_vector = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id"))).select("query_id", "owner", "rank")
     seeds = by_vector.select("query_id", F.concat(F.lit("Paper:"), F.col("owner").cast("string")).alias("seed"))
-    related = graph.related_to_sets(_edges(spark, d), seeds, ["HAS_KEYWORD"], TOP_K)
+    related = graph.related_to_sets(_edges(spark, d), seeds, RELATIONS, TOP_K)
     by_graph = related.select("query_id", F.substring("related", len("Paper:") + 1, 20).cast("bigint").alias("owner"), "rank")
     fused = retrieval.reciprocal_rank_fusion({"vector": by_vector, "graph": by_graph}, "owner", TOP_K)
     return fused.select("query_id", "owner", "vector_rank", "graph_rank", F.round("rrf_score", 9).alias("rrf_score"), "hybrid_rank")
@@ -308,33 +306,36 @@ def news_chunks(spark: SparkSession, d: str) -> DataFrame:
     return documents.token_chunks(table(spark, d, "news"), ["news_id"], ["content_en_for_rag"])
 
 
-def fulltext_sections(spark: SparkSession, d: str) -> DataFrame:
-    found = documents.sections(table(spark, d, "papers"), ["paper_id"], F.col("fulltext"))
-    return found.select("paper_id", *(F.char_length(c).alias(c) for c in ("abstract", "introduction", "body", "conclusion", "references")))
+def _printed(source: str) -> list[Column]:
+    """A paper's fields as pages that each begin with the source and a number and end with the page's number."""
+    fields = ("abstract", "introduction", "body", "conclusion")
+    return [F.concat_ws("\n", F.concat(F.coalesce(source, F.lit("Printed")), F.lit(f" {i}")), F.coalesce(f, F.lit("")), F.lit(f"Page {i} of {len(fields)}")) for i, f in enumerate(fields, 1)]
 
 
-def fulltext_cleaning(spark: SparkSession, d: str) -> DataFrame:
-    pages = F.split("fulltext", "\f")
-    return documents.cleaned_pages(table(spark, d, "papers"), ["paper_id"], pages).select("paper_id", F.char_length("text").alias("n_chars"), "removed_lines", "removed_paragraphs")
+def page_cleaning(spark: SparkSession, d: str) -> DataFrame:
+    """Papers printed page by page and cleaned: headers and page numbers go, and so do repeated paragraphs."""
+    found = layout.cleaned_pages(table(spark, d, "papers"), ["paper_id"], F.array(*_printed("source")))
+    return found.select("paper_id", F.md5("text").alias("digest"), "removed_lines", "removed_paragraphs")
 
 
-def training_split(spark: SparkSession, d: str) -> DataFrame:
-    """English papers split 80/10/10 so that papers of equal key, title or text share a split."""
-    from ..operators.components import grouped_split
-
-    english = table(spark, d, "papers").where(F.lower(F.trim("language")).isin("en", "eng", "english"))
-    text = F.regexp_replace(F.lower(F.concat_ws("\n", "introduction", "body", "conclusion")), "[^a-z0-9]+", " ")
-    keys = [*paper_keys(), F.concat(F.lit("title:"), dedupe.normalized_title(F.col("title"))), F.when(F.trim(text) != "", F.concat(F.lit("text:"), F.sha2(text, 256)))]
-    return grouped_split(english, "paper_id", keys, {"train": 0.8, "validation": 0.1, "test": 0.1}, seed=42)
+def section_finding(spark: SparkSession, d: str) -> DataFrame:
+    """Papers written out under headings, and their sections found again."""
+    headed = F.concat_ws(
+        "\n", F.lit("Abstract"), "abstract", F.lit("1. Introduction"), "introduction", F.lit("Figure 1. What was seen"), F.lit("1.1 The Scope of It"), "title", F.lit("2. Methods"), F.lit("Table 2"), F.lit("Source: own figures"), "body",
+        F.lit("3. Conclusion"), "conclusion", F.lit("References"), "source_url", F.lit("Appendix A"), "doi",
+    )
+    found = layout.sections(table(spark, d, "papers"), ["paper_id"], headed)
+    names = ("abstract", "introduction", "body", "conclusion", "references", "appendix")
+    return found.select("paper_id", *(F.md5(F.col(c)).alias(c) for c in names), F.array_join(F.transform("captions", lambda c: c.text), "|").alias("captions"), F.array_join(F.transform("sections", lambda x: x.section_type), ",").alias("types"))
 
 
 ALL = (
     identity_keys, news_url_keys, raw_existing_match, paper_quality_flags, paper_quality_state, paper_relevance, abstract_round_trip, sample_support, unsupported_numbers,
-    training_sentence_counts, section_targets, vector_search, best_chunk_per_owner, news_recency_ranking, diversity_ranking, graph_edges, graph_nodes, graph_related, hybrid_fusion,
+    training_sentence_counts, vector_search, best_chunk_per_owner, news_recency_ranking, diversity_ranking, graph_edges, graph_nodes, graph_related, hybrid_fusion,
     evidence_check, entity_mentions, article_cleaning, load_checks, allocated_ids, unsynced_documents, news_first_deliveries, event_windows, news_dedupe, raw_paper_selection,
-    paper_chunks, news_chunks, fulltext_sections, fulltext_cleaning, training_split,
+    paper_chunks, news_chunks, page_cleaning, section_finding,
 )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in ALL}
+    return {f.__name__: f for f in ALL} | training.queries()
