@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quality import bound
 from .skew import grid_join
 
 
@@ -68,34 +65,27 @@ def related_to_sets(edges: DataFrame, seeds: DataFrame, types: list[str], limit:
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def _joined(words: Column, n: int):
-    return lambda i: F.array_join(F.slice(words, i, n), " ")
-
-
-def mentions(docs: DataFrame, id_col: str, text: Column, catalogue: list[tuple[str, str, list[str]]]) -> DataFrame:
-    """(id_col, entity_id, alias, status): catalogue aliases that occur as whole words in a document, letter case aside.
-
-    catalogue: (entity id, type, names). An alias of several entries stays unresolved: its entity_id is null. The catalogue
-    is a small, curated list that travels with the plan; the text is split into words once and looked up by them.
-    """
-    owners: dict[str, set[str]] = {}
-    for entity, _, names in catalogue:
-        for n in names:
-            if words := re.findall(r"[^\W_]+", n.lower()):
-                owners.setdefault(" ".join(words), set()).add(entity)
-    if not owners:
-        return docs.select(id_col, F.lit(None).cast("string").alias("entity_id"), F.lit(None).cast("string").alias("alias"), F.lit(None).cast("string").alias("status")).limit(0)
-    longest = max(len(a.split()) for a in owners)
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
-    def runs(ws: Column) -> Column:
-        out = ws
-        for n in range(2, longest + 1):
-            places = F.sequence(F.lit(1), F.greatest(F.size(ws) - (n - 1), F.lit(1)))
-            out = F.concat(out, F.transform(places, _joined(ws, n)))
-        return out
-
-    hit = F.array_distinct(F.filter(bound(words, runs), lambda g: g.isin(*sorted(owners))))
-    table = F.create_map(*[F.lit(x) for a, e in sorted(owners.items()) if len(e) == 1 for x in (a, next(iter(e)))]) if any(len(e) == 1 for e in owners.values()) else F.create_map(F.lit(""), F.lit(""))
-    found = docs.select(id_col, F.explode(hit).alias("alias")).withColumn("entity_id", F.try_element_at(table, F.col("alias")))
-    return found.withColumn("status", F.when(F.col("entity_id").isNull(), "unresolved").otherwise("resolved")).select(id_col, "entity_id", "alias", "status").distinct()
+def paper_context(edges: DataFrame, papers: DataFrame) -> DataFrame:
+    """(paper_id, title, authors, keywords, sources): every paper with the sorted names of its neighbours; empty lists for what it lacks."""
+    named = lambda c: F.regexp_replace(c, "^[A-Za-z]+:", "")
+    ends = edges.select(
+        F.when(F.col("type") == "WRITTEN_BY", F.col("dst")).otherwise(F.col("src")).alias("paper"), "type", named(F.when(F.col("type") == "WRITTEN_BY", F.col("src")).otherwise(F.col("dst"))).alias("name")
+    )
+    of = lambda kind, name: F.array_sort(F.collect_set(F.when(F.col("type") == kind, F.col("name")))).alias(name)
+    per = ends.groupBy("paper").agg(of("WRITTEN_BY", "authors"), of("HAS_KEYWORD", "keywords"), of("PUBLISHED_BY", "sources"))
+    none = F.array().cast("array<string>")
+    own = papers.where("paper_id is not null").select("paper_id", "title", F.concat(F.lit("Paper:"), F.col("paper_id").cast("string")).alias("paper"))
+    return own.join(per, "paper", "left").select("paper_id", "title", *(F.coalesce(c, none).alias(c) for c in ("authors", "keywords", "sources")))
+
+
+def unsynced(docs: DataFrame, id_col: str, synced: DataFrame | None = None) -> DataFrame:
+    """docs that the graph doesn't have: those not marked graph_synced or, with a table of synced ids, those not in it."""
+    if synced is None:
+        return docs.where(~F.coalesce("graph_synced", F.lit(False)))
+    return docs.join(synced.select(id_col).distinct(), id_col, "left_anti")
+
+
+def mark_synced(docs: DataFrame, id_col: str, done: DataFrame) -> DataFrame:
+    """docs with graph_synced set for the ids in `done` and left as it is for others."""
+    marks = done.select(id_col).distinct().withColumn("_done", F.lit(True))
+    return docs.join(marks, id_col, "left").withColumn("graph_synced", F.coalesce("_done", "graph_synced", F.lit(False))).drop("_done")

@@ -6,20 +6,26 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import grid_join, spread_join
+
 # Bonus of recent news, and what a repeated source costs in diversity ranking.
 RECENCY_WEIGHT, REPEAT_COST, REPEAT_MOST, RRF_K = 0.08, 0.015, 4, 60
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit rows of a list column, and which of its rows are usable (of that size, no null, not all zero)."""
-    rows = column.to_pylist()
-    good = np.array([bool(r) and len(r) == size and None not in r for r in rows], dtype=bool)
-    out = np.zeros((len(rows), size), dtype=np.float64)
-    for i in np.flatnonzero(good):
-        out[i] = rows[i]
+    lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    good = lengths == max(size, 1)
+    flat = column.filter(pa.array(good)).flatten()
+    whole = np.ones(len(flat), dtype=bool) if not flat.null_count else flat.is_valid().to_numpy(zero_copy_only=False)
+    values = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, max(size, 1))
+    out = np.zeros((len(column), max(size, 1)))
+    out[good] = values
+    good[np.flatnonzero(good)[~whole.reshape(values.shape).all(axis=1)]] = False
     norm = np.sqrt((out * out).sum(axis=1))
     good &= norm > 0
     out[good] /= norm[good, None]
@@ -214,3 +220,43 @@ def evidence_check(
         F.when(F.col("evidence_chunks") < min_chunks, "evidence_chunks"),
     )
     return per.withColumn("reasons", reasons).withColumn("can_generate", F.col("reasons") == "")
+
+
+def first_of_hits(hits: DataFrame, ids: Sequence[str], rest: Sequence[str], order: Sequence[Column], query_id: str = "query_id") -> DataFrame:
+    """Each hit of a query once: hits are the same if the first non-null one of `ids` is, or, without any, if all of `rest` are. The first in order stays."""
+    named = F.coalesce(*(F.concat(F.lit(f"{c}:"), F.col(c).cast("string")) for c in ids), F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rest)))
+    place = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)))
+    whole = F.struct(*(F.col(c) for c in hits.columns))
+    return hits.groupBy(F.col(query_id).alias("_q"), named.alias("_n")).agg(F.min_by(whole, place).alias("h")).select("h.*")
+
+
+def collapsed(hits: DataFrame, owner: str, query_id: str = "query_id", chunk: str = "chunk_id") -> DataFrame:
+    """(query_id, owner, vector_rank, similarity, chunks): the papers of chunk hits, ranked by their best chunk, with their chunks in order of similarity."""
+    one = F.struct((-F.coalesce("similarity", F.lit(0.0))).alias("s"), F.col(chunk).alias("c"))
+    per = hits.groupBy(query_id, owner).agg(F.array_sort(F.collect_list(one)).alias("m"))  # a query has few hits
+    per = per.select(query_id, owner, (-F.get("m", F.lit(0)).s).alias("similarity"), F.transform("m", lambda x: x.c).alias("chunks"))
+    order = Window.partitionBy(query_id).orderBy(F.desc("similarity"), F.get("chunks", F.lit(0)))
+    return per.withColumn("vector_rank", F.row_number().over(order))
+
+
+def chunks_of_owners(asked: DataFrame, rows: DataFrame, chunks: DataFrame, queries: DataFrame, id_col: str, vector_col: str, per_owner: int, query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
+    """(query_id, owner, chunk_id, similarity, owner_rank): the per_owner most similar chunks of each owner that a query asks for.
+
+    asked: (query_id, owner). Only the chunks of these owners are compared; an owner with many chunks is dealt out over tasks. Unusable vectors match nothing.
+    """
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    held = grid_join(asked.select(query_id, "owner").distinct(), chunks.select(id_col, "chunk_id", "owner"), ["owner"], query_id, "chunk_id")
+    d = spread_join(held, rows.select(id_col, F.col(vector_col).alias("_v")), [id_col], query_id)
+    d = spread_join(d, queries.select(query_id, F.col(query_vector).alias("_w")), [query_id], "chunk_id").where(F.size("_v") == F.size("_w"))
+    d = d.withColumn("similarity", dot(F.col("_v"), F.col("_w")) / F.sqrt(dot(F.col("_v"), F.col("_v")) * dot(F.col("_w"), F.col("_w")))).where("similarity is not null and not isnan(similarity)")
+    return best_per_owner(d.select(query_id, "owner", "chunk_id", "similarity"), "owner", query_id, per_owner=per_owner)
+
+
+def evidence_text(hits: DataFrame, label: str, fields: Sequence[tuple[str, str]], order: Sequence[Column], most: int, most_chars: int, query_id: str = "query_id") -> DataFrame:
+    """(query_id, position, evidence): the first `most` hits with text, each as a numbered item: `[<label> n]`, a line for each of the fields (name, column) that has a value, and its
+    content with single blanks, cut after most_chars characters. Numbers count items with text alone, so that they match what was given."""
+    tidy = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"(?U)\s+", " "))
+    numbered = hits.where(tidy("content") != "").withColumn("position", F.row_number().over(Window.partitionBy(query_id).orderBy(*order))).where(F.col("position") <= most)
+    lines = [F.when((tidy(c) != "") | F.lit(i == 0), F.concat(F.lit(f"{n}: "), tidy(c))) for i, (n, c) in enumerate(fields)]
+    cut = F.when(F.char_length(tidy("content")) > most_chars, F.concat(F.rtrim(F.substring(tidy("content"), 1, most_chars)), F.lit("..."))).otherwise(tidy("content"))
+    return numbered.select(query_id, "position", F.concat_ws("\n", F.concat(F.lit(f"[{label} "), F.col("position").cast("string"), F.lit("]")), *lines, F.lit("Evidence:"), cut).alias("evidence"))

@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity
-from ..operators import dedupe, documents, graph, layout, quality, retrieval
+from ..operators import dedupe, documents, entities, graph, layout, loading, quality, retrieval
+from ..operators.skew import spread_join
+from ..operators.tables import materialize
+from ..sources import feeds
 from ..streaming.news import first_deliveries, windowed_counts
 from . import training
 from .base import table
@@ -18,24 +21,6 @@ from .base import table
 AS_OF = datetime.datetime(2026, 1, 1, tzinfo=datetime.timezone.utc)
 CORE = r"fans?\b|followers"
 CONTEXTS = {"platforms": r"online groups|posts", "performance": r"\btour\b|concert", "commerce": r"market|prices", "learning": r"students|teachers"}
-#: A small catalogue: entity id, type, names.
-CATALOGUE = [
-    ("e1", "Group", ["TORFIS", "Torfine6"]), ("e2", "Group", ["ZOLUDO"]), ("e3", "Platform", ["MivenxBoard", "Mivenx Board"]),
-    ("e4", "Person", ["JODOR"]), ("e5", "Group", ["Jodor"]), ("e6", "Place", ["Ulluka-ri"]),
-]
-LIMITS = {
-    "papers": {"title": 500, "authors": None, "abstract": None, "source": 200, "doi": 255, "language": 10, "content_hash": 64, "keywords": None},
-    "news": {"title_original": 500, "original_language": 10, "source": 200, "category": 100, "content_hash": 64, "keywords": None},
-}
-#: All text columns that are stored: those of LIMITS, which the SQL reads too, and the rest.
-STORED = {
-    "papers": LIMITS["papers"] | dict.fromkeys(("introduction", "body", "conclusion", "source_url")),
-    "news": LIMITS["news"] | {"title_en_for_rag": 500} | dict.fromkeys(("content_original", "content_en_for_rag", "url")),
-}
-REQUIRED = {
-    "papers": ("paper_id", ("title", "source_url")),
-    "news": ("news_id", ("title_original", "content_original", "url", "title_en_for_rag", "content_en_for_rag", "published_at")),
-}
 TOP_K = 10
 # The edges over which papers are related.
 RELATIONS = ["CITES", "RELATED_TO", "HAS_TOPIC", "HAS_KEYWORD"]
@@ -221,16 +206,108 @@ def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_check(spark: SparkSession, d: str) -> DataFrame:
-    """Whether each query's chunks are enough to write from."""
-    papers = table(spark, d, "papers").select(F.col("paper_id").alias("owner"), F.col("abstract").alias("content"))
-    hits = _chunk_hits(spark, d).join(papers, "owner", "left")
-    return retrieval.evidence_check(hits, owner="owner")
+    """Whether each query's chunks are enough to write from, or it must be abstained."""
+    checked = retrieval.evidence_check(_with_text(spark, d, _chunk_hits(spark, d)), owner="owner")
+    return checked.withColumn("action", F.when(F.col("can_generate"), "generate").otherwise("abstain"))
+
+
+def _with_text(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:
+    papers = table(spark, d, "papers").where("paper_id is not null").select(F.col("paper_id").alias("owner"), "title", "published_year", "source", "doi", F.col("abstract").alias("content"))
+    return hits.join(papers, "owner", "left")
+
+
+def collapsed_papers(spark: SparkSession, d: str) -> DataFrame:
+    """The papers of each query's chunks, with their chunks."""
+    found = retrieval.collapsed(_chunk_hits(spark, d), "owner")
+    return found.select("query_id", "owner", "vector_rank", F.round("similarity", 6).alias("similarity"), F.array_join(F.transform("chunks", lambda c: c.cast("string")), ",").alias("chunks"))
+
+
+def _live(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """(query_id, chunk_id, owner, similarity, found_by): the k nearest chunks, and two of each paper that the graph relates to theirs."""
+    rows, asked = _vectors(spark, d)
+    near = materialize(_chunk_hits(spark, d, k), "near")
+    seeds = near.select("query_id", F.concat(F.lit("Paper:"), F.col("owner").cast("string")).alias("seed"))
+    related = graph.related_to_sets(_edges(spark, d), seeds, RELATIONS, TOP_K).select("query_id", F.substring("related", len("Paper:") + 1, 20).cast("bigint").alias("owner"))
+    by_graph = retrieval.chunks_of_owners(related, rows, _chunks(spark, d, "papers", "paper_id"), asked, "vec_id", "embedding", 2).drop("owner_rank")
+    both = near.withColumn("found_by", F.lit("vector")).unionByName(by_graph.withColumn("found_by", F.lit("graph")))
+    return retrieval.first_of_hits(both, ["chunk_id"], ["owner"], [F.when(F.col("found_by") == "vector", 0).otherwise(1)])
+
+
+def live_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks found by vectors and over the graph, each once, ranked with regard to the diversity of papers."""
+    ranked = retrieval.diversity_ranking(_live(spark, d, 5), "owner")
+    return ranked.select("query_id", "chunk_id", "owner", "found_by", F.round("diversity_score", 6).alias("diversity_score"), "final_rank")
+
+
+def second_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """Per query the chunks of a first narrow search and, where these are too little evidence, those of a second wider one after them, each once."""
+    first = materialize(_chunk_hits(spark, d, 3).withColumn("round", F.lit(1)), "first")
+    lacking = retrieval.evidence_check(_with_text(spark, d, first), owner="owner").where("not can_generate").select("query_id")
+    second = _chunk_hits(spark, d, 12).join(lacking, "query_id", "left_semi").withColumn("round", F.lit(2))
+    merged = retrieval.first_of_hits(first.unionByName(second), ["chunk_id"], ["owner"], [F.col("round"), -F.col("similarity"), F.col("chunk_id")])
+    return merged.select("query_id", "chunk_id", "owner", "round", F.round("similarity", 6).alias("similarity"))
+
+
+def evidence_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Each query's best five chunks as numbered evidence."""
+    hits = _with_text(spark, d, _chunk_hits(spark, d))
+    return retrieval.evidence_text(hits, "PAPER", [("Title", "title"), ("Published Year", "published_year"), ("Source", "source"), ("DOI", "doi")], [F.desc("similarity"), F.col("chunk_id")], 5, 600)
+
+
+#: A name is catalogued if so many titles of papers have it.
+LEAST_TITLES = 3
+
+
+def _catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """A catalogue made from the tables: the names that several papers' titles have, those in capitals as groups, others as platforms; with a Korean name where a Korean title has it."""
+    titles = table(spark, d, "papers").where("paper_id is not null").select("paper_id", "title", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("title", F.lit("")), F.lit(r"\b(?:[A-Z]{3,}|[A-Z][a-z]+[A-Z][A-Za-z]*)\b"), F.lit(0)))).alias("name"))
+    names = titles.groupBy("name").agg(F.countDistinct("paper_id").alias("n"), F.min("paper_id").alias("first")).where(F.col("n") >= LEAST_TITLES)
+    entries = names.select(
+        F.when(F.col("name").rlike("^[A-Z]+$"), "Group").otherwise("Platform").alias("entity_type"), F.lit(None).cast("string").alias("name_ko"), F.col("name").alias("name_en"), F.array(F.lower("name")).alias("aliases"),
+        F.concat(F.lit("https://names.example/"), F.col("name")).alias("authority_url"), F.array(F.concat(F.lit("https://papers.example/"), F.col("first").cast("string"))).alias("source_urls"),
+    )
+    return entities.catalogue(entries)
+
+
+def entity_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    return _catalogue(spark, d).select("entity_id", "entity_type", "canonical_name", F.array_join("aliases", "|").alias("aliases"), "problem")
 
 
 def entity_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Catalogued names in news, and the documents they are in."""
     news = table(spark, d, "news").select("news_id", F.concat_ws("\n", "title_original", "content_original").alias("text"))
-    return graph.mentions(news, "news_id", F.col("text"), CATALOGUE)
+    return entities.mentions(news, "news_id", F.col("text"), _catalogue(spark, d))
+
+
+def mention_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The graph's edges from news to the entities they mention, and those of papers' titles and texts."""
+    known = _catalogue(spark, d)
+    papers = table(spark, d, "papers").select("paper_id", F.concat_ws("\n", "title", "abstract", "introduction", "body", "conclusion").alias("text"))
+    news = table(spark, d, "news").select("news_id", F.concat_ws("\n", "title_original", "content_original").alias("text"))
+    edges = entities.mention_graph(entities.mentions(papers, "paper_id", F.col("text"), known), "paper_id", "Paper")[1]
+    return edges.union(entities.mention_graph(entities.mentions(news, "news_id", F.col("text"), known), "news_id", "News")[1])
+
+
+def name_protection(spark: SparkSession, d: str) -> DataFrame:
+    """News with their verified names replaced by markers, and whether putting them back gives the names everywhere."""
+    found = entity_mentions(spark, d).where("status = 'resolved'").groupBy("news_id").agg(F.collect_list(F.struct(F.col("alias").alias("surface"), F.col("canonical_name").alias("name"))).alias("names"))
+    news = table(spark, d, "news").where("news_id is not null and content_original is not null").select("news_id", "title_original", "content_original").join(found, "news_id")
+    done = entities.protected(news, F.col("names"), ["title_original", "content_original"])
+    source = news.select("news_id", F.col("content_original").alias("source"))
+    back = entities.restored(F.col("content_original"), F.col("content_original"), F.col("markers"))
+    return done.join(source, "news_id").select("news_id", F.size("markers").alias("n_names"), F.md5(F.lower(back)).alias("restored"))
+
+
+def korean_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Quoted Korean titles in Korean news."""
+    news = table(spark, d, "news").where(F.lower(F.trim("original_language")) == "ko")
+    return entities.quoted_titles(news, "news_id", F.col("title_original"), F.col("content_original"))
+
+
+def graph_context(spark: SparkSession, d: str) -> DataFrame:
+    """Every paper with its authors, keywords and sources in the graph."""
+    found = graph.paper_context(_edges(spark, d), table(spark, d, "papers"))
+    return found.select("paper_id", "title", *(F.array_join(c, "|").alias(c) for c in ("authors", "keywords", "sources")))
 
 
 def article_cleaning(spark: SparkSession, d: str) -> DataFrame:
@@ -239,15 +316,79 @@ def article_cleaning(spark: SparkSession, d: str) -> DataFrame:
 
 
 def load_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of papers and news that can't be stored: missing fields, NUL characters and lengths, with every reason."""
+    """Rows of papers and news that can't be stored: missing fields, NUL characters, lengths and URLs, with every reason."""
     out = None
-    for name, (key, required) in REQUIRED.items():
-        df = table(spark, d, name)
-        bad = df.select(F.lit(name).alias("kind"), F.col(key).alias("id"), F.array_join(documents.load_errors(df, STORED[name], required), ",").alias("errors")).where("errors <> ''")
+    for name, spec in loading.TABLES.items():
+        df = loading.prepared(table(spark, d, name), name, _doi_or_own)
+        bad = df.select(F.lit(name).alias("kind"), F.col(spec["key"]).alias("id"), F.array_join("errors", ",").alias("errors")).where("errors <> ''")
         out = bad if out is None else out.union(bad)
     return out
 
 
+def _doi_or_own(doi: Column) -> Column:
+    return F.coalesce(identity.doi_key(doi), F.lower(doi))
+
+
+def content_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """The content hash of every paper and news item as it is loaded."""
+    parts = [loading.prepared(table(spark, d, n), n).select(F.lit(n).alias("kind"), F.col(s["key"]).alias("id"), "content_hash") for n, s in loading.TABLES.items()]
+    return parts[0].union(parts[1])
+
+
+def load_plan(spark: SparkSession, d: str) -> DataFrame:
+    """What loading the papers that the graph lacks would do, beside those it has as the stored ones."""
+    papers = table(spark, d, "papers").withColumn("synced", F.coalesce("graph_synced", F.lit(False)))
+    doi, url, digest = identity.doi_key(F.col("doi")), F.when(F.trim("source_url") != "", F.col("source_url")), identity.hash_key(F.col("content_hash"))
+    keys = {"doi": (doi, doi), "source_url": (url, url), "content_hash": (digest, digest)}
+    return loading.load_plan(papers.where("not synced"), "paper_id", papers.where("synced").withColumnRenamed("paper_id", "stored"), "stored", keys, [F.col("paper_id")]).withColumnRenamed("stored_id", "target_id")
+
+
+def embedded_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The offline embedding of every abstract."""
+    v = loading.hashed_embedding(F.col("abstract"), 16)
+    return table(spark, d, "papers").select("paper_id", F.array_join(F.transform(v, lambda x: F.round(x, 5).cast("string")), ",").alias("embedding"))
+
+
+def chunk_index(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of all papers taken into an index that has those of synced papers already; per paper how many, and whether each has a vector and stands in the paper."""
+    papers = table(spark, d, "papers").where("paper_id is not null")
+    fields = ["abstract", "introduction", "body", "conclusion"]
+    chunks = documents.token_chunks(papers, ["paper_id"], fields)
+    old = documents.token_chunks(papers.where("graph_synced"), ["paper_id"], fields)
+    index = loading.indexed_chunks(chunks, "paper_id", loading.indexed_chunks(old, "paper_id", None))
+    whole = papers.select("paper_id", F.concat_ws("\n", *fields).alias("whole")).dropDuplicates(["paper_id"])
+    d2 = index.join(whole, "paper_id")
+    inside = F.col("content").contains("\ufffd") | F.col("whole").contains(F.col("content"))  # a window may cut a character in two
+    return d2.groupBy("paper_id").agg(
+        F.bool_and(F.size("embedding") == 64).alias("embedded"), F.bool_and(inside).alias("inside"), (F.max("chunk_index") + 1 == F.count("*")).alias("numbered"), (F.countDistinct("chunk_index") == F.count("*")).alias("once")
+    )
+
+
+def feed_items(spark: SparkSession, d: str) -> DataFrame:
+    """News written as RSS items, read again and classified by date and topic."""
+    news = table(spark, d, "news").where("news_id is not null")
+    stamp = F.date_format(F.col("published_at").cast("timestamp"), "d MMM yyyy HH:mm:ss")
+    items = news.select(
+        F.col("title_original").alias("title"), F.col("url").alias("link"), F.concat(stamp, F.lit(" +0000")).alias("pubDate"), F.col("content_original").alias("description"), F.col("keywords").alias("category"), "news_id"
+    )
+    found = feeds.feed_news(items.drop("news_id"), _as_of(), 365, CONTEXTS)
+    return found.groupBy("status", "category").agg(F.count("*").alias("n"))
+
+
+def work_records(spark: SparkSession, d: str) -> DataFrame:
+    """Papers written as work records, with inverted abstracts, and normalised again."""
+    p = table(spark, d, "papers").where("paper_id is not null")
+    place = F.struct(F.lit(True).alias("is_oa"), F.lit(None).cast("string").alias("pdf_url"), F.col("source_url").alias("landing_page_url"), F.lit("cc-by").alias("license"), F.lit(None).cast("string").alias("version"))
+    works = p.select(
+        F.concat(F.lit("https://works.example/W"), F.col("paper_id").cast("string")).alias("id"), "title", F.lit("article").alias("type"), F.col("published_year").alias("publication_year"), F.lit(False).alias("is_retracted"), "doi", "language",
+        quality.inverted_index(F.col("abstract")).alias("abstract_inverted_index"), F.struct(F.lit(True).alias("is_oa"), F.lit("gold").alias("oa_status")).alias("open_access"), place.alias("best_oa_location"), F.array(place).alias("locations"),
+        F.transform(graph.author_names(F.col("authors")), lambda a: F.struct(F.struct(a.alias("display_name")).alias("author"))).alias("authorships"), F.transform("keywords", lambda k: F.struct(k.alias("display_name"))).alias("keywords"),
+    )
+    w = feeds.normalized_works(works, CORE, CONTEXTS, 2026)
+    lists = {"authors": "authors", "keywords": "keywords", "matched_topics": "matched_topics"}
+    return w.select("id", "title", "published_year", "abstract", "doi", "relevance_score", *(F.array_join(c, "|").alias(n) for n, c in lists.items()), F.array_join(F.transform("source_locations", lambda x: x.url), "|").alias("urls"))
+
+
 def allocated_ids(spark: SparkSession, d: str) -> DataFrame:
     """Raw papers' works numbered after the largest stored id, in order of their id."""
     works = table(spark, d, "raw_papers").where("openalex_id is not null").select("openalex_id").distinct()
@@ -265,9 +406,18 @@ def unsynced_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def news_first_deliveries(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct delivered URLs per feed day, as the stream counts them."""
-    first = first_deliveries(table(spark, d, "news").select("url", "collected_at"))
-    return first.agg(F.count("*").alias("n"))
+    """The first delivery of each URL."""
+    return first_deliveries(table(spark, d, "news").select("news_id", "url", "collected_at")).select("url_key", "news_id", F.unix_seconds(F.col("collected_at").cast("timestamp")).alias("collected_at"))
+
+
+def streamed_deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """The URLs that a stream over the news delivers, each once."""
+    from ..streaming.news import stream_to_table
+
+    source = table(spark, d, "news")
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "news.parquet").parquet(d)
+    done = stream_to_table(first_deliveries(stream.withColumn("collected_at", F.col("collected_at").cast("timestamp")), "36500 days").select("url_key"))
+    return done.groupBy("url_key").agg(F.count("*").alias("deliveries"))
 
 
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -285,17 +435,26 @@ def news_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def raw_paper_selection(spark: SparkSession, d: str) -> DataFrame:
-    """Raw fetches merged into works, open and relevant ones first; retained ones with what was merged into them."""
-    raw = table(spark, d, "raw_papers").where("openalex_id is not null").withColumn(
-        "fetch_id", F.xxhash64("openalex_id", "title", "doi", "retrieved_at", "loaded_at", F.array_join(F.coalesce("matched_queries", F.array().cast("array<string>")), "|"))
-    )
-    raw = raw.dropDuplicates(["fetch_id"])
+    """Raw fetches merged into works, open and relevant ones first; retained ones with the queries, places and ids of what was merged into them."""
+    none = F.array().cast("array<string>")
+    raw = table(spark, d, "raw_papers").where("openalex_id is not null")
+    urls = F.array_distinct(F.filter(F.coalesce("source_locations.url", none), lambda u: u.isNotNull()))
+    told = F.concat_ws("|", "openalex_id", "title", "doi", F.col("retrieved_at").cast("string"), F.col("loaded_at").cast("string"), F.array_join(F.coalesce("matched_queries", none), "+"), F.array_join(F.array_sort(urls), "+"))
+    raw = raw.select("openalex_id", "title", "doi", "is_oa", "relevance_score", "matched_queries", urls.alias("urls"), F.conv(F.substring(F.md5(told), 1, 15), 16, 10).cast("bigint").alias("fetch_id")).dropDuplicates(["fetch_id"])
+    raw = materialize(raw, "fetches")
     keys = [F.upper("openalex_id"), dedupe.normalized_title(F.col("title")), identity.doi_key(F.col("doi"))]
     order = [(-F.coalesce("is_oa", F.lit(False)).cast("int")), -F.coalesce("relevance_score", F.lit(0)), F.col("openalex_id")]
-    kept = dedupe.first_come(raw, "fetch_id", keys, order)
-    merged = raw.join(kept, "fetch_id").select("retained_id", F.explode_outer("matched_queries").alias("q"), "fetch_id")
-    per = merged.groupBy("retained_id").agg(F.countDistinct("fetch_id").alias("fetches"), F.array_join(F.array_sort(F.collect_set("q")), "|").alias("queries"))
-    return per.join(raw.select(F.col("fetch_id").alias("retained_id"), "openalex_id"), "retained_id").select("openalex_id", "fetches", "queries")
+    kept = materialize(dedupe.first_come(raw, "fetch_id", keys, order), "kept")
+    own = raw.select(F.col("fetch_id").alias("retained_id"), F.upper("openalex_id").alias("retained"))
+    merged = spread_join(raw.join(kept, "fetch_id"), own, ["retained_id"], "fetch_id")
+    # Each kind of value is made distinct before it is gathered.
+    parts = F.array(F.struct(F.lit("q").alias("k"), F.coalesce("matched_queries", none).alias("v")), F.struct(F.lit("u").alias("k"), F.col("urls").alias("v")), F.struct(F.lit("i").alias("k"), F.when(F.upper("openalex_id") != F.col("retained"), F.array(F.upper("openalex_id"))).otherwise(none).alias("v")))
+    values = merged.select("retained_id", F.inline(parts)).select("retained_id", "k", F.explode("v").alias("v")).where("v is not null").distinct()
+    of = lambda k, name: F.array_join(F.array_sort(F.collect_list(F.when(F.col("k") == k, F.col("v")))), "|").alias(name)
+    lists = values.groupBy("retained_id").agg(of("q", "queries"), of("u", "urls"), of("i", "merged_ids"))
+    per = merged.groupBy("retained_id").agg(F.count("*").alias("fetches"))
+    out = per.join(raw.select(F.col("fetch_id").alias("retained_id"), "openalex_id", "title"), "retained_id").join(lists, "retained_id", "left")
+    return out.select("openalex_id", "title", "fetches", *(F.coalesce(c, F.lit("")).alias(c) for c in ("queries", "urls", "merged_ids")))
 
 
 def paper_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -330,10 +489,10 @@ def section_finding(spark: SparkSession, d: str) -> DataFrame:
 
 
 ALL = (
-    identity_keys, news_url_keys, raw_existing_match, paper_quality_flags, paper_quality_state, paper_relevance, abstract_round_trip, sample_support, unsupported_numbers,
-    training_sentence_counts, vector_search, best_chunk_per_owner, news_recency_ranking, diversity_ranking, graph_edges, graph_nodes, graph_related, hybrid_fusion,
-    evidence_check, entity_mentions, article_cleaning, load_checks, allocated_ids, unsynced_documents, news_first_deliveries, event_windows, news_dedupe, raw_paper_selection,
-    paper_chunks, news_chunks, page_cleaning, section_finding,
+    identity_keys, news_url_keys, raw_existing_match, paper_quality_flags, paper_quality_state, paper_relevance, abstract_round_trip, sample_support, unsupported_numbers, training_sentence_counts, vector_search,
+    best_chunk_per_owner, news_recency_ranking, diversity_ranking, graph_edges, graph_nodes, graph_related, graph_context, hybrid_fusion, collapsed_papers, live_retrieval, second_retrieval, evidence_texts, evidence_check, entity_catalogue,
+    entity_mentions, mention_edges, name_protection, korean_titles, article_cleaning, load_checks, content_hashes, load_plan, embedded_texts, chunk_index, feed_items, work_records, allocated_ids, unsynced_documents, news_first_deliveries,
+    streamed_deliveries, event_windows, news_dedupe, raw_paper_selection, paper_chunks, news_chunks, page_cleaning, section_finding,
 )
 
 

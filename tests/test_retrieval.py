@@ -89,8 +89,31 @@ def test_related_to_sets_counts_the_paths_of_all_seeds(spark):
     assert graph.related_to_sets(edges, seeds, ["HAS_KEYWORD"], 1).count() == 2
 
 
-def test_mentions(spark):
-    df = spark.createDataFrame([(1, "The Blue-Whale band and bts."), (2, "bluewhale BTSX"), (3, None), (4, "Twin")], "id bigint, t string")
-    catalogue = [("g1", "Group", ["BTS", "Blue Whale"]), ("a", "Group", ["Twin"]), ("b", "Person", ["twin"])]
-    got = {tuple(r) for r in graph.mentions(df, "id", F.col("t"), catalogue).collect()}
-    assert got == {(1, "g1", "bts", "resolved"), (1, "g1", "blue whale", "resolved"), (4, None, "twin", "unresolved")}
+def test_collapsed_and_first_of_hits(spark):
+    hits = spark.createDataFrame([(1, 5, 10, 0.9), (1, 6, 10, 0.95), (1, 7, 11, 0.95), (1, 7, 11, 0.95), (2, 5, 10, None)], "query_id int, chunk_id int, owner int, similarity double")
+    once = retrieval.first_of_hits(hits, ["chunk_id"], ["owner"], [-F.coalesce("similarity", F.lit(0.0))])
+    assert once.count() == 4
+    got = {(r.query_id, r.owner): (r.vector_rank, r.chunks) for r in retrieval.collapsed(once, "owner").collect()}
+    assert got == {(1, 10): (1, [6, 5]), (1, 11): (2, [7]), (2, 10): (1, [5])}
+    unnamed = hits.withColumn("chunk_id", F.lit(None).cast("int"))
+    assert retrieval.first_of_hits(unnamed, ["chunk_id"], ["owner", "similarity"], [F.lit(0)]).count() == 4
+    assert retrieval.collapsed(hits.limit(0), "owner").count() == 0
+
+
+def test_chunks_of_owners(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(60, 4))
+    rows = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(60)] + [(60, None), (61, [1.0]), (62, [0.0] * 4)], "id bigint, v array<double>")
+    held = spark.createDataFrame([(i, 100 + i, i % 7) for i in range(63)], "id bigint, chunk_id bigint, owner bigint")
+    asked = spark.createDataFrame([(0, 3), (0, 3), (1, 4), (1, 99)], "query_id bigint, owner bigint")
+    queries = rows.where("id < 2").select(F.col("id").alias("query_id"), F.col("v").alias("query_vector"))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(q, o, 100 + int(i)) for q, o in ((0, 3), (1, 4)) for i in sorted(range(o, 60, 7), key=lambda i: (-unit[i] @ unit[q], i))[:2]}
+    assert {(r.query_id, r.owner, r.chunk_id) for r in retrieval.chunks_of_owners(asked, rows, held, queries, "id", "v", 2).collect()} == want
+
+
+def test_evidence_text(spark):
+    rows = [(1, "T  one", None, "a\n b" * 3, 0.9), (1, "U", "S", " ", 0.8), (1, None, "S", "cd", 0.7), (1, "V", "S", "ef", 0.6), (2, "W", "S", None, 0.6)]
+    df = spark.createDataFrame(rows, "query_id int, title string, source string, content string, similarity double")
+    got = {r.position: r.evidence for r in retrieval.evidence_text(df, "PAPER", [("Title", "title"), ("Source", "source")], [F.desc("similarity")], 2, 4).collect()}
+    assert got == {1: "[PAPER 1]\nTitle: T one\nEvidence:\na ba...", 2: "[PAPER 2]\nTitle: \nSource: S\nEvidence:\ncd"}
