@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,9 +34,19 @@ def document_tokens(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 
 def lower_bound(sizes: Sequence[int], capacity: int) -> int:
-    """No packing has fewer containers: the larger of the sum over the capacity and, of items over
-    half of it, their number."""
-    return max(-(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes)) if sizes else 0
+    """No packing has fewer containers. For each least size that is looked at, items over the capacity less that size are alone, those over half of it are
+    in containers of their own, and the smaller ones must fit into what these leave or need more; the largest of these counts (Martello and Toth's second bound)."""
+    if not sizes:
+        return 0
+    v = np.sort(np.asarray(sizes, dtype=np.int64))
+    total = np.concatenate([[0], np.cumsum(v)])
+    half = np.searchsorted(v, capacity // 2, side="right")  # items from here on are over half
+    least = np.unique(np.concatenate([[0], v[:half]]))
+    alone = np.searchsorted(v, capacity - least, side="right")
+    small = np.searchsorted(v, least, side="left")
+    left = (np.maximum(alone, half) - half) * capacity - (total[np.maximum(alone, half)] - total[half])
+    more = np.maximum(0, -(-(total[half] - total[np.minimum(small, half)] - left) // capacity))
+    return int((len(v) - half + more).max())
 
 
 def best_fit(sizes: Sequence[int], capacity: int) -> list[list[int]]:
@@ -53,19 +65,19 @@ def best_fit(sizes: Sequence[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def completions(room: int, sizes: Sequence[int], counts: Sequence[int], first: int, most_waste: int, keep: int, nodes: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
+def completions(room: int, sizes: Sequence[int], counts: Sequence[int], first: int, most_waste: int, keep: int | None, nodes: int | None) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
     """(waste, ((place, number), ...)): undominated fillings of `room` from sizes[first:], which fall,
     with `counts` of each; the least waste first, then larger items first.
 
     A filling that leaves room for an item it left out is dominated by the one that has
     it and is not listed. Branches that can't come to most_waste or under, even with all that
-    is left, are cut. Stops at the first without waste and after `nodes` nodes.
+    is left, are cut. Stops at the first without waste. `keep` of them are kept and `nodes` nodes seen at most; None: all.
     """
     total = [0] * (len(sizes) + 1)
     for k in range(len(sizes) - 1, first - 1, -1):
         total[k] = total[k + 1] + sizes[k] * counts[k]
     found: list[tuple[int, tuple[tuple[int, int], ...]]] = []
-    limit = [most_waste, nodes]
+    limit = [most_waste, 1 << 62 if nodes is None else nodes]
     chosen: list[tuple[int, int]] = []
 
     def go(k: int, left: int, skipped: int) -> bool:
@@ -78,7 +90,7 @@ def completions(room: int, sizes: Sequence[int], counts: Sequence[int], first: i
                 found.append((left, tuple(chosen)))
                 if left == 0:
                     return True
-                if len(found) >= keep:
+                if keep is not None and len(found) >= keep:
                     found.sort(key=lambda f: f[0])
                     del found[keep:]
                     limit[0] = min(limit[0], found[-1][0])
@@ -99,14 +111,28 @@ def completions(room: int, sizes: Sequence[int], counts: Sequence[int], first: i
     return sorted(found, key=lambda f: f[0])
 
 
-def pack(items: Sequence[int], capacity: int, keep: int = 6, nodes: int = 400, budget: int = 20000) -> list[list[int]]:
+@dataclass(frozen=True)
+class Search:
+    """How far a block's search goes: fillings kept and nodes seen for each container, and containers tried in a row without a better packing. None: without end."""
+
+    keep: int | None = 6
+    nodes: int | None = 400
+    patience: int | None = 4000
+
+
+#: Ends with a packing of the fewest containers, in time that grows exponentially with the items: for small blocks.
+EXACT = Search(None, None, None)
+
+
+def pack(items: Sequence[int], capacity: int, search: Search = Search()) -> list[list[int]]:
     """Containers as lists of item numbers; every item is at most `capacity`.
 
     Bin completion: the largest item left is put with each of its undominated fillings in
     turn, depth first, best-fit's packing being the first incumbent. A branch whose waste
     so far leaves no better packing than the incumbent is cut; the search ends at the lower
-    bound or after `budget` containers tried.
+    bound or where `search` says. With EXACT the result has the fewest containers that there are.
     """
+    patience = left_to_try = 1 << 62 if search.patience is None else search.patience
     incumbent = best_fit(items, capacity)
     goal = lower_bound(items, capacity)
     if len(incumbent) <= goal:
@@ -132,11 +158,11 @@ def pack(items: Sequence[int], capacity: int, keep: int = 6, nodes: int = 400, b
         if room < 0:
             choices = []
         else:
-            choices = completions(capacity - sizes[k], sizes, counts, k, room, keep, nodes)
+            choices = completions(capacity - sizes[k], sizes, counts, k, room, search.keep, search.nodes)
         return [choices, 0, waste, k, None]
 
     stack.append(frame())
-    while stack and budget > 0 and best_n > goal:
+    while stack and left_to_try > 0 and best_n > goal:
         top = stack[-1]
         choices, nxt, before, k, taken = top
         if taken is not None:
@@ -148,7 +174,7 @@ def pack(items: Sequence[int], capacity: int, keep: int = 6, nodes: int = 400, b
             counts[k] += 1
             stack.pop()
             continue
-        budget -= 1
+        left_to_try -= 1
         lost, filling = choices[nxt]
         top[1], top[4] = nxt + 1, filling
         for place, n in filling:
@@ -157,7 +183,7 @@ def pack(items: Sequence[int], capacity: int, keep: int = 6, nodes: int = 400, b
         below = frame()
         if below is None:
             if len(stack) < best_n:
-                best_n = len(stack)
+                best_n, left_to_try = len(stack), patience
                 best = [((f[3], 1), *f[4]) for f in stack]
         else:
             stack.append(below)
@@ -169,19 +195,19 @@ def pack(items: Sequence[int], capacity: int, keep: int = 6, nodes: int = 400, b
     return [[pool[k].pop() for k, n in filling for _ in range(n)] for filling in best]
 
 
-_PLACED = "doc_id bigint, piece_no int, start bigint, n_tokens bigint, container_id bigint, room bigint"
+_PLACED = "doc_id bigint, piece_no int, start bigint, n_tokens bigint, container_id string, room bigint"
 
 
-def _packer(capacity: int, level: int):
+def _packer(capacity: int, level: int, search: Search):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["n_tokens", "doc_id", "piece_no"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         sizes = group["n_tokens"].tolist()
-        number, room = [0] * len(sizes), [0] * len(sizes)
-        base = (level << 60) | (int(group["block"].iloc[0]) << 24)
-        for b, members in enumerate(pack(sizes, capacity)):
+        number, room = [""] * len(sizes), [0] * len(sizes)
+        base = f"{level}.{int(group['block'].iloc[0])}"
+        for b, members in enumerate(pack(sizes, capacity, search)):
             left = capacity - sum(sizes[i] for i in members)
             for i in members:
-                number[i], room[i] = base | b, left
+                number[i], room[i] = f"{base}.{b}", left
         return group[["doc_id", "piece_no", "start", "n_tokens"]].assign(container_id=number, room=room)
 
     return run
@@ -193,7 +219,7 @@ def _blocks(items: DataFrame, block: int) -> DataFrame:
     return items.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(count))).repartition(count, "block")
 
 
-def packed(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, block: int = 4000, slack: float = 0.01) -> DataFrame:
+def packed(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, block: int = 2000, slack: float = 0.01, search: Search = Search()) -> DataFrame:
     """(doc_id, piece_no, start, n_tokens, container_id): every document's place.
 
     A document over the capacity is cut into pieces of `capacity` tokens and a rest; no other is cut.
@@ -201,22 +227,23 @@ def packed(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None,
     about `block`, each packed by `pack` in one task; the items of containers with more than `slack`
     of their capacity free are gathered and packed once more. Only ids and sizes are
     shuffled, never texts. Null ids, null and empty texts take no place and have no row; repeated
-    rows of a document count once.
+    rows of a document count once, as its longest text. Containers are named by what fills them: `full.<doc_id>.<piece_no>`, or level,
+    block and number.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
-    sizes = materialize(document_tokens(docs, tokenizer).where("doc_id is not null and n_tokens > 0"), "tokens").dropDuplicates(["doc_id"])
+    sizes = materialize(document_tokens(docs, tokenizer).where("doc_id is not null and n_tokens > 0"), "tokens")
+    sizes = sizes.groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
     number = F.explode(F.sequence(F.lit(0), ((F.col("n_tokens") - 1) / capacity).cast("int"))).alias("piece_no")
     pieces = sizes.select("doc_id", "n_tokens", number).select(
         "doc_id", "piece_no", (F.col("piece_no").cast("bigint") * capacity).alias("start"), F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece_no") * capacity).cast("bigint").alias("n_tokens")
     )
     pieces = materialize(pieces, "pieces")
     rest = _blocks(pieces.where(F.col("n_tokens") < capacity), block)
-    first = materialize(rest.groupBy("block").applyInPandas(_packer(capacity, 0), _PLACED), "packed")
+    first = materialize(rest.groupBy("block").applyInPandas(_packer(capacity, 0, search), _PLACED), "packed")
     good = first.where(F.col("room") <= slack * capacity)
     loose = _blocks(first.where(F.col("room") > slack * capacity).drop("container_id", "room"), block)
-    again = loose.groupBy("block").applyInPandas(_packer(capacity, 1), _PLACED)
-    # The containers of full pieces have negative names, so apart from all others.
+    again = loose.groupBy("block").applyInPandas(_packer(capacity, 1, search), _PLACED)
     full = pieces.where(F.col("n_tokens") == capacity)
-    named = full.withColumn("container_id", -1 - F.shiftrightunsigned(F.xxhash64("doc_id", "piece_no"), 1))
+    named = full.withColumn("container_id", F.concat_ws(".", F.lit("full"), F.col("doc_id").cast("string"), F.col("piece_no").cast("string")))
     return good.drop("room").unionByName(again.drop("room")).unionByName(named)

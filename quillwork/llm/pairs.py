@@ -73,7 +73,7 @@ def is_placeholder(text: str | None) -> bool:
     t = visible(text)
     if not any(c.isalnum() for c in t):
         return True
-    return len(t) <= 30 and re.sub(r"^\W+|\W+$", "", t).lower() in PLACEHOLDERS
+    return re.sub(r"^\W+|\W+$", "", t).lower() in PLACEHOLDERS
 
 
 def clauses(text: str) -> list[str]:

@@ -44,15 +44,24 @@ def test_finds_the_optimum_of_small_sets():
     worse = 0
     for _ in range(60):
         items = [rng.randrange(15, 60) for _ in range(rng.randrange(3, 11))]
-        bins = K.pack(items, 100, keep=50, nodes=5000)
+        bins = K.pack(items, 100, K.EXACT)
         check(items, 100, bins)
         worse += len(bins) > optimum(items, 100)
+        assert K.lower_bound(items, 100) <= len(bins)
     assert worse == 0
     # Best fit needs four containers here, three are enough.
     items = [60, 50, 30, 20, 40, 50, 30, 20]
     assert len(K.pack(items, 100)) == optimum(items, 100) == 3
 
 
+def test_bound_sees_items_that_nothing_fits_beside():
+    # The sum says 2 containers and only one item is over half, but no two of these fit together with a third.
+    assert K.lower_bound([40, 40, 40, 40, 40], 100) == 2 and K.lower_bound([70, 70, 35, 35], 100) == 3 and K.lower_bound([], 5) == 0
+    rng = random.Random(1)
+    items = [rng.randrange(20, 2047) for _ in range(4000)]
+    assert K.lower_bound(items, 2048) == len(K.best_fit(items, 2048)) or K.lower_bound(items, 2048) > -(-sum(items) // 2048)
+
+
 def test_completions_are_undominated():
     sizes, counts = [50, 30, 20, 10], [1, 2, 1, 1]
     for waste, filling in K.completions(75, sizes, counts, 0, 75, 100, 10000):
@@ -75,6 +84,7 @@ def test_table(spark):
     pieces = sorted(per[900], key=lambda r: r.piece_no)
     assert [r.start for r in pieces] == [1000 * i for i in range(len(pieces))] and [r.n_tokens for r in pieces][:-1] == [1000] * (len(pieces) - 1)
     assert len(fill) <= 1.03 * -(-sum(fill.values()) // 1000) + 1
+    assert {r.container_id for r in got if r.n_tokens == 1000} == {f"full.{r.doc_id}.{r.piece_no}" for r in got if r.n_tokens == 1000}
     assert K.packed(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         K.packed(df, capacity=0)
