@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .skew import grid_join, spread_join
+from .tables import materialize
 
 # Bonus of recent news, and what a repeated source costs in diversity ranking.
 RECENCY_WEIGHT, REPEAT_COST, REPEAT_MOST, RRF_K = 0.08, 0.015, 4, 60
@@ -45,16 +46,18 @@ def vector_search(
     """
     source = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
     found = None
-    for own in _query_blocks(queries, query_id, query_vector, block):
+    for own, several in _query_blocks(queries, query_id, query_vector, block):
         part = source.mapInArrow(_searcher(own, k, exclude_self), "query_id bigint, id bigint, similarity double")
+        if several:  # the driver and the plan hold one block at a time
+            part = materialize(part, "hits")
         found = part if found is None else found.union(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select(F.col("query_id").alias(query_id), F.col("id").alias(id_col), "similarity", "rank")
 
 
-def _query_blocks(queries: DataFrame, query_id: str, query_vector: str, block: int) -> Iterator[list[tuple[int, Sequence[float]]]]:
-    """The queries on the driver, some `block` at a time, each once and in order of their ids; at least one block, which may be empty.
+def _query_blocks(queries: DataFrame, query_id: str, query_vector: str, block: int) -> Iterator[tuple[list[tuple[int, Sequence[float]]], bool]]:
+    """The queries on the driver, some `block` at a time, each once and in order of their ids, and whether there are several blocks; at least one block, which may be empty.
 
     Only queries of the most frequent length are taken (of equally frequent ones, the shorter)."""
     asked = queries.select(query_id, query_vector).where(F.col(query_id).isNotNull() & F.col(query_vector).isNotNull())
@@ -64,7 +67,7 @@ def _query_blocks(queries: DataFrame, query_id: str, query_vector: str, block: i
     shards = max(1, -(-(best["n"] if best else 0) // block))
     numbered = asked.withColumn("shard", F.pmod(F.xxhash64(query_id), F.lit(shards)))
     for shard in range(shards):
-        yield sorted(((r[0], r[1]) for r in numbered.where(F.col("shard") == shard).select(query_id, query_vector).collect()), key=lambda r: r[0])
+        yield sorted(((r[0], r[1]) for r in numbered.where(F.col("shard") == shard).select(query_id, query_vector).collect()), key=lambda r: r[0]), shards > 1
 
 
 def _searcher(queries: Sequence[tuple[int, Sequence[float]]], k: int, exclude_self: bool):
@@ -108,8 +111,10 @@ def best_chunks(
     source = rows.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).join(held, id_col)
     source = source.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"), F.col("h.c").alias("c"), F.col("h.o").alias("o"))
     found = None
-    for own in _query_blocks(queries, query_id, query_vector, block):
+    for own, several in _query_blocks(queries, query_id, query_vector, block):
         part = source.mapInArrow(_owner_searcher(own, per_owner, exclude_self), "query_id bigint, owner bigint, chunk_id bigint, similarity double")
+        if several:
+            part = materialize(part, "hits")
         found = part if found is None else found.union(part)
     return best_per_owner(found, "owner", "query_id", per_owner=per_owner).withColumnRenamed("query_id", query_id)
 
