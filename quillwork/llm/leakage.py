@@ -14,9 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import textvec as tv
+from ..operators.tables import materialize
 
 K1 = 1.2
 BLOCK = 32
+#: Ranges of items for which a term's largest impact is kept.
+RANGES = 40
 #: Words of an index term.
 WIDTH = 3
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
@@ -58,6 +61,7 @@ class Index:
         words, at = _hashed([plain_text(p) for _, p in items])
         self.words = [words[a:b] for a, b in zip(at[:-1], at[1:])]
         terms, terms_at = tv.shingle_hashes(words, at, WIDTH)
+        self.own_terms = [terms[a:b] for a, b in zip(terms_at[:-1], terms_at[1:])]
         owner = np.repeat(np.arange(len(items)), np.diff(terms_at))
         key, counts = np.unique(np.stack([terms, owner.astype(np.uint64)], axis=1), axis=0, return_counts=True)
         term, item = key[:, 0], key[:, 1].astype(np.int64)
@@ -74,6 +78,10 @@ class Index:
         self.first, self.df, self.item = first, df, item
         self.impact = impact / floor[item]
         self.most = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
+        #: The largest impact of each term (rows) in each range of items (columns).
+        ranges = max(1, min(RANGES, len(items)))
+        self.range_most = np.zeros((len(self.terms), ranges))
+        np.maximum.at(self.range_most, (np.repeat(np.arange(len(self.terms)), df), item * ranges // max(len(items), 1)), self.impact)
         self._lists: dict[int, tuple[list[int], list[float], list[float]]] = {}
 
     def postings(self, t: int) -> tuple[list[int], list[float], list[float]]:
@@ -203,6 +211,14 @@ def _may_align(equal: np.ndarray, least: int) -> bool:
     return bool((sums[least:] - sums[:-least]).max() >= least - most + 1)
 
 
+def _on_diagonals(passage: np.ndarray, text: np.ndarray, need: int, least: int) -> bool:
+    """Whether enough of the passage's terms stand on as few neighbouring diagonals of the text as a stretch with its edits keeps to."""
+    most = (2 * least - 1) // 5
+    i, j = np.nonzero(passage[:, None] == text[None, :])
+    total = np.concatenate([[0], np.cumsum(np.bincount(j - i + len(passage), minlength=len(passage) + len(text) + 2 * most + 1))])
+    return bool((total[2 * most + 1 :] - total[: -(2 * most + 1)]).max(initial=0) >= need)
+
+
 def aligned(passage: np.ndarray, text: np.ndarray, least: int) -> tuple[int, int]:
     """(words, edits) of the longest stretch of the passage that stands in the text in order,
     with at most one edit (changed, dropped or added word) in five; (0, 0) if under `least` words.
@@ -242,8 +258,8 @@ def scan(texts: Sequence[str], index: Index, span: int = 48, stride: int = 24, a
 
     Windows of `span` words every `stride` words are the queries; span - stride is more
     than the least stretch with its edits, so some window holds all of it. A window whose
-    terms can't reach the threshold even with their largest impacts asks nothing. Around
-    the windows that retrieved an item, its passage is aligned with the text.
+    terms can't reach the threshold in any range of items, even with their largest impacts there, asks nothing. Around
+    the windows that retrieved an item, its passage is aligned with the text, if enough of its terms stand on neighbouring diagonals.
     """
     words, at = _hashed([plain_text(t) for t in texts])
     terms, terms_at = tv.shingle_hashes(words, at, WIDTH)
@@ -253,7 +269,7 @@ def scan(texts: Sequence[str], index: Index, span: int = 48, stride: int = 24, a
     place = np.searchsorted(index.terms, terms)
     place[place == len(index.terms)] = 0
     known = index.terms[place] == terms
-    weight = np.concatenate([[0.0], np.cumsum(np.where(known, index.most[place], 0.0))])
+    weight = np.concatenate([np.zeros((1, index.range_most.shape[1])), np.cumsum(index.range_most[place[known]], axis=0)])
     number_known = np.concatenate([[0], np.cumsum(known)])
     counts = np.diff(terms_at)
     # Window k of a text covers its terms k * stride .. k * stride + span - WIDTH.
@@ -263,8 +279,9 @@ def scan(texts: Sequence[str], index: Index, span: int = 48, stride: int = 24, a
     starts = terms_at[owner] + number * stride
     stops = np.minimum(starts + span - WIDTH + 1, terms_at[owner + 1])
     spots: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    asks = (weight[stops] - weight[starts] >= 1 - 1e-9) & (number_known[stops] - number_known[starts] >= index.need)
-    for k in np.flatnonzero(asks):
+    enough = np.flatnonzero(number_known[stops] - number_known[starts] >= index.need)
+    reach = (weight[number_known[stops[enough]]] - weight[number_known[starts[enough]]]).max(axis=1, initial=0.0)
+    for k in enough[reach >= 1 - 1e-6]:
         i, s, e = int(owner[k]), int(starts[k]), int(stops[k])
         for item in index.retrieve(np.unique(place[s:e][known[s:e]]).tolist()):
             spots.setdefault((i, item), []).append((s - int(terms_at[i]), e - int(terms_at[i]) + WIDTH - 1))
@@ -277,8 +294,9 @@ def scan(texts: Sequence[str], index: Index, span: int = 48, stride: int = 24, a
                 merged[-1][1] = hi
             else:
                 merged.append([lo, hi])
-        found = [aligned(index.words[item], words[at[i] + lo : at[i] + hi], index.least) for lo, hi in merged]
-        best = max(found, key=lambda x: (x[0], -x[1]))
+        near = [(lo, hi) for lo, hi in merged if _on_diagonals(index.own_terms[item], terms[terms_at[i] + lo : terms_at[i] + max(lo, hi - WIDTH + 1)], index.needs[item], index.least)]
+        found = [aligned(index.words[item], words[at[i] + lo : at[i] + hi], index.least) for lo, hi in near]
+        best = max(found, key=lambda x: (x[0], -x[1]), default=(0, 0))
         if best[0]:
             out[i].append((item, *best))
     return out
@@ -299,7 +317,7 @@ def leaked(docs: DataFrame, items: DataFrame, block: int = 5000, least: int = 16
     docs: doc_id bigint, text. items: item_id bigint, passage, question, answer. Markup, character
     references, case, punctuation and white space are ignored. Documents never shuffle: the items
     are indexed in blocks of at most `block`, each of which scans all documents whole, so the
-    index that a task holds is bounded however many items there are. Null texts and passages and
+    index that the driver or a task holds is bounded however many items there are; with several blocks each one's result is written before the next is collected. Null texts and passages and
     passages under `least` words match nothing; items repeated under other ids are all reported;
     repeated documents are all reported.
     """
@@ -313,6 +331,8 @@ def leaked(docs: DataFrame, items: DataFrame, block: int = 5000, least: int = 16
     for shard in range(shards):
         own = sorted(map(tuple, numbered.where(F.col("shard") == shard).drop("shard").collect()), key=lambda r: r[0])
         part = source.mapInArrow(_scanner(own, least), schema)
+        if shards > 1:
+            part = materialize(part, "leaks")
         found = part if found is None else found.union(part)
     return found
 
