@@ -9,6 +9,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,14 +59,25 @@ _ENGLISH = frozenset(
     "the of and to in a is that for it as was with on by at from this these those be are or an which not have has had were but they some many most several such their its "
     "during after before within without across between over near step once than more each other than can there what how why who when all if into no".split()
 )
+_PLAIN = re.compile("[A-Za-z]")
 _CLOSE = {"”": "“", ")": "(", "]": "[", "」": "「"}
 
 
+_CONTROL = re.compile(r"[\x00-\x08\x0b-\x1f\x7f]")
+
+
+@lru_cache(maxsize=1 << 16)
+def _shown(c: str) -> bool:
+    return unicodedata.category(c) not in ("Cf", "Cc", "Zs", "Zl", "Zp") or c in " \n\t"
+
+
 def visible(text: str | None) -> str:
     """The text without white space and invisible characters at its ends."""
     if not text:
         return ""
-    return "".join(c for c in text if unicodedata.category(c) not in ("Cf", "Cc", "Zs", "Zl", "Zp") or c in " \n\t").strip()
+    if text.isascii():
+        return _CONTROL.sub("", text).strip()
+    return "".join(c for c in text if _shown(c)).strip()
 
 
 def is_placeholder(text: str | None) -> bool:
@@ -97,6 +109,7 @@ def _bin(share: float) -> int:
     return int(min(share, 1.0) * 10 + 1e-9)
 
 
+@lru_cache(maxsize=1 << 17)
 def _h(s: str) -> int:
     return zlib.crc32(s.encode("utf-8", "surrogatepass")) % DIMENSIONS
 
@@ -111,8 +124,8 @@ def features(parts: Sequence[str], question: str, title: str, lexical: bool = Tr
         raw = _WORD.findall(part)
         words = [w.lower() for w in raw]
         n = max(1, len(words))
-        letters = sum(map(str.isalpha, part)) or 1
-        plain = sum(c.isalpha() and c < "\u0080" for c in part)
+        plain = len(_PLAIN.findall(part))
+        letters = (plain if part.isascii() else sum(map(str.isalpha, part))) or 1
         pairs = set(zip(words, words[1:]))
         last = part.rstrip()[-1:]
         open_marks = [a for b, a in _CLOSE.items() if part.count(a) > part.count(b)]
@@ -166,65 +179,65 @@ class Tagger:
         return best[::-1]
 
 
-def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis=axis, keepdims=True)
-    return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 def train(sequences: Sequence[tuple[list[list[int]], list[int]]], epochs: int = 60, rate: float = 0.1, l2: float = 1e-4) -> Tagger:
-    """Maximum likelihood by full-batch Adam; the gradients come from forward-backward over all sequences at once."""
+    """Maximum likelihood by full-batch Adam; the gradients come from forward-backward over all sequences at once, in
+    probabilities that are scaled at each clause. Equal clauses' features are summed once."""
     k = len(LABELS)
     seqs = [s for s in sequences if s[0]]
     count, longest = len(seqs), max(len(s[0]) for s in seqs)
     length = np.array([len(s[0]) for s in seqs])
-    flat = [f for s in seqs for f in s[0]]
     row = np.repeat(np.arange(count), length)
     col = np.concatenate([np.arange(n) for n in length])
-    sizes = np.array([len(f) for f in flat])
-    index = np.concatenate([np.array(f, dtype=np.int64) for f in flat])
+    number: dict[tuple[int, ...], int] = {}
+    clause = np.array([number.setdefault(tuple(f), len(number)) for s in seqs for f in s[0]])
+    sizes = np.array([len(f) for f in number])
+    index = np.concatenate([np.array(f, dtype=np.int64) for f in number])
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    owner = np.repeat(np.arange(len(flat)), sizes)
+    owner = np.repeat(np.arange(len(number)), sizes)
     gold = np.concatenate([np.array(s[1]) for s in seqs])
     gold_at = np.full((count, longest), 0)
     gold_at[row, col] = gold
     mask = np.arange(longest)[None, :] < length[:, None]
     used, compact = np.unique(index, return_inverse=True)
+    by_feature = np.argsort(compact, kind="stable")
+    owner_sorted, feature_starts = owner[by_feature], np.concatenate([[0], np.cumsum(np.bincount(compact, minlength=len(used)))[:-1]])
 
     p = [np.zeros((len(used), k)), np.zeros((k, k)), np.zeros(k), np.zeros(k)]
     m1, m2 = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
-    one = np.zeros((len(flat), k))
-    one[np.arange(len(flat)), gold] = 1
+    one = np.zeros((len(clause), k))
+    one[np.arange(len(clause)), gold] = 1
     pairs = mask[:, 1:]
     gold_moves = np.zeros((k, k))
     np.add.at(gold_moves, (gold_at[:, :-1][pairs], gold_at[:, 1:][pairs]), 1)
     last = length - 1
-    rows = np.arange(count)
+    at = np.cumsum(length) - 1
     for epoch in range(1, epochs + 1):
         w, moves, starts, ends = p
-        emit = np.zeros((count, longest, k))
-        emit[row, col] = np.add.reduceat(w[compact], first, axis=0)
-        fwd = np.empty_like(emit)
-        fwd[:, 0] = starts + emit[:, 0]
-        for t in range(1, longest):
-            fwd[:, t] = _logsumexp(fwd[:, t - 1, :, None] + moves[None], 1) + emit[:, t]
-        bwd = np.zeros_like(emit)
-        bwd[rows, last] = ends
+        score = np.add.reduceat(w[compact], first, axis=0)[clause]
+        emit = np.ones((count, longest, k))
+        emit[row, col] = np.exp(score - score.max(axis=1, keepdims=True))
+        step, begin, finish = np.exp(moves - moves.max()), np.exp(starts - starts.max()), np.exp(ends - ends.max())
+        fwd, scale = np.empty_like(emit), np.empty((count, longest))
+        for t in range(longest):
+            x = (begin if t == 0 else fwd[:, t - 1] @ step) * emit[:, t]
+            scale[:, t] = x.sum(axis=1)
+            fwd[:, t] = x / scale[:, t, None]
+        bwd = np.empty_like(emit)
+        bwd[:, longest - 1] = finish
         for t in range(longest - 2, -1, -1):
-            step = _logsumexp(moves[None] + (emit[:, t + 1] + bwd[:, t + 1])[:, None, :], 2)
-            bwd[:, t] = np.where((t < last)[:, None], step, bwd[:, t])
-        z = _logsumexp(fwd[rows, last] + ends, 1)
-        prob = np.exp(fwd + bwd - z[:, None, None])[row, col]
-        diff = prob - one
-        g_moves = -gold_moves.copy()
+            x = (emit[:, t + 1] * bwd[:, t + 1]) @ step.T / scale[:, t + 1, None]
+            bwd[:, t] = np.where((t < last)[:, None], x, finish)
+        both = fwd * bwd
+        mass = both.sum(axis=2)
+        diff = (both / mass[:, :, None])[row, col] - one
+        g_moves = -gold_moves
         for t in range(1, longest):
             live = mask[:, t]
             if live.any():
-                joint = fwd[live, t - 1, :, None] + moves[None] + (emit[live, t] + bwd[live, t])[:, None, :] - z[live, None, None]
-                g_moves += np.exp(joint).sum(axis=0)
-        g_w = np.zeros_like(w)
-        for c in range(k):
-            g_w[:, c] = np.bincount(compact, weights=diff[owner, c], minlength=len(used))
-        at = np.cumsum(length) - 1
+                left = fwd[live, t - 1] / (scale[live, t] * mass[live, t])[:, None]
+                g_moves = g_moves + step * (left.T @ (emit[live, t] * bwd[live, t]))
+        per_clause = np.stack([np.bincount(clause, weights=diff[:, c], minlength=len(number)) for c in range(k)], axis=1)
+        g_w = np.add.reduceat(per_clause[owner_sorted], feature_starts, axis=0)
         g = [g_w / count + l2 * w, g_moves / count, diff[at - last].sum(axis=0) / count, diff[at].sum(axis=0) / count]
         for i in range(4):
             m1[i] = 0.9 * m1[i] + 0.1 * g[i]
