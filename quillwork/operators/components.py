@@ -76,8 +76,9 @@ def rendezvous_split(key: Column, weights: Mapping[str, float], seed: int = 0) -
         raise ValueError("no split has a weight above 0")
     scores = []
     for split, weight in sorted(positive.items()):
-        bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(split), F.lit(seed)), 11)
-        u = (bits + F.lit(0.5)) / F.lit(float(1 << 53))
+        # 52 bits of a hash that other engines have too.
+        bits = F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(split), F.lit(str(seed)))), 1, 13), 16, 10).cast("double")
+        u = (bits + F.lit(0.5)) / F.lit(float(1 << 52))
         scores.append(F.struct((F.lit(-float(weight)) / F.log(u)).alias("score"), F.lit(split).alias("split")))
     return (F.greatest(*scores) if len(scores) > 1 else scores[0])["split"]
 
