@@ -121,7 +121,10 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return corpus.queries() | {f.__name__: f for f in (p1_found, p1_coverage, p2_found, p2_papers, p2_segments, p7_containers, p7_fill, p8_found, p8_items, p9_found, p9_mix)}
+    from . import checks
+
+    own = {f.__name__: f for f in (p1_found, p1_coverage, p2_found, p2_papers, p2_segments, p7_containers, p7_fill, p8_found, p8_items, p9_found, p9_mix)}
+    return corpus.queries() | own | checks.all_checks()
 
 
 def oracle_sql() -> dict[str, str]:
