@@ -136,9 +136,9 @@ class NearDuplicates:
         slim = self.signatures.select("kind", "id", "set_hash")
         heads = slim.groupBy("kind", "set_hash").agg(F.min("id").alias("rep"))
         self.members = materialize(spread_join(slim, heads, ["kind", "set_hash"], "id").select("kind", "rep", "id").distinct(), "members")
-        first = self.members.where("rep = id").select("kind", "id")
-        # One row a class: its representative's (of repeated rows any, as they are equal in all that is used).
-        reps = materialize(self.signatures.join(first, ["kind", "id"], "left_semi").dropDuplicates(["kind", "id"]), "classes")
+        # One row a class, its representative's: an aggregate with map-side combine, so no list of representatives is joined or broadcast.
+        reps = self.signatures.groupBy("kind", "set_hash").agg(F.min_by(F.struct("id", *_SKETCH, "bands"), "id").alias("r")).select("kind", "r.*")
+        reps = materialize(reps, "classes")
         buckets = reps.select("kind", "id", F.explode("bands").alias("band"))
         met = materialize(bucket_pairs(buckets, ["kind", "band"], "id").select("kind", "a", "b").distinct(), "met")
         sketches = reps.select("kind", "id", F.struct(*_SKETCH).alias("sk"))
