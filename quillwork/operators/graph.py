@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .skew import grid_join
+from .tables import materialize
 
 
 def author_names(authors: Column) -> Column:
@@ -53,9 +54,10 @@ def related_to_sets(edges: DataFrame, seeds: DataFrame, types: list[str], limit:
 
     Paths that meet at one node are counted together before the second hop is joined, and a node that many papers share is joined in cells."""
     used = edges.where(F.col("type").isin(*types)).select("src", "dst", "type").distinct()
-    both = used.union(used.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type"))
+    both = materialize(used.union(used.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type")), "both")
     seeds = seeds.select(set_id, "seed").where(F.col("seed").isNotNull()).distinct()
     first = grid_join(seeds.withColumnRenamed("seed", "src"), both, ["src"], set_id, "dst").groupBy(set_id, F.col("dst").alias("src"), F.col("type").alias("by")).agg(F.count("*").alias("n"))
+    first = materialize(first, "first")
     second = grid_join(first, both, ["src"], set_id, "dst").select(set_id, F.col("dst").alias("related"), F.concat_ws(">", "by", "type").alias("path"), "n")
     paths = first.select(set_id, F.col("src").alias("related"), F.col("by").alias("path"), "n").union(second).where("related like 'Paper:%'")
     per_path = paths.groupBy(set_id, "related", "path").agg(F.sum("n").alias("n"))  # fewer than the square of the types for each paper

@@ -68,11 +68,13 @@ def paper_quality_state(spark: SparkSession, d: str) -> DataFrame:
     """Flags, score and state of every paper; the second of equal full texts needs review."""
     papers = table(spark, d, "papers").where("paper_id is not null")
     text_key = F.when(F.length("fulltext") > 0, F.sha2(F.regexp_replace(F.lower("fulltext"), r"[^\p{L}\p{N}]+", ""), 256))
-    marked = quality.first_of_equal(papers, text_key, F.col("paper_id"))
     language, confidence = F.col("language"), F.col("language_detection_confidence")
     status = F.array_compact(F.array(F.when(F.col("fulltext_status") == "unavailable", "source_not_acquired").when(F.col("fulltext_status") == "extraction_failed", "extraction_failed"), F.when(F.coalesce(F.length("fulltext"), F.lit(0)) == 0, "no_extracted_text")))
     flags = F.concat(_flags(), quality.language_flags(language, confidence), status)
-    scored = marked.withColumn("f", flags).withColumn("q", quality.quality_state(F.col("f"), language, confidence, F.col("language_metadata"), F.col("is_repeat")))
+    # The texts are read once; what is compared are their hashes.
+    slim = materialize(papers.select("paper_id", "language", "language_detection_confidence", "language_metadata", flags.alias("f"), text_key.alias("text_key")), "quality")
+    marked = quality.first_of_equal(slim, F.col("text_key"), F.col("paper_id"))
+    scored = marked.withColumn("q", quality.quality_state(F.col("f"), language, confidence, F.col("language_metadata"), F.col("is_repeat")))
     listed = F.when(F.col("is_repeat"), F.concat("f", F.array(F.lit("duplicate_fulltext")))).otherwise(F.col("f"))
     return scored.select("paper_id", "is_repeat", F.array_join(listed, ",").alias("flags"), "q.score", "q.state")
 
