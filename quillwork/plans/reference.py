@@ -213,8 +213,8 @@ def evidence_check(spark: SparkSession, d: str) -> DataFrame:
     return checked.withColumn("action", F.when(F.col("can_generate"), "generate").otherwise("abstain"))
 
 
-def _with_text(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:
-    papers = table(spark, d, "papers").where("paper_id is not null").select(F.col("paper_id").alias("owner"), "title", "published_year", "source", "doi", F.col("abstract").alias("content"))
+def _with_text(spark: SparkSession, d: str, hits: DataFrame, *more: str) -> DataFrame:
+    papers = table(spark, d, "papers").where("paper_id is not null").select(F.col("paper_id").alias("owner"), *more, F.col("abstract").alias("content"))
     return hits.join(papers, "owner", "left")
 
 
@@ -252,7 +252,7 @@ def second_retrieval(spark: SparkSession, d: str) -> DataFrame:
 
 def evidence_texts(spark: SparkSession, d: str) -> DataFrame:
     """Each query's best five chunks as numbered evidence."""
-    hits = _with_text(spark, d, _chunk_hits(spark, d))
+    hits = _with_text(spark, d, _chunk_hits(spark, d), "title", "published_year", "source", "doi")
     return retrieval.evidence_text(hits, "PAPER", [("Title", "title"), ("Published Year", "published_year"), ("Source", "source"), ("DOI", "doi")], [F.desc("similarity"), F.col("chunk_id")], 5, 600)
 
 

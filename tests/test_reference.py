@@ -60,15 +60,17 @@ def test_existing_match_takes_all_dois_and_urls_of_a_work(spark, tmp_path):
 
 def test_load_checks_cover_all_stored_columns(spark, tmp_path):
     d = str(tmp_path)
-    texts = {"papers": ("title", "authors", "abstract", "introduction", "body", "conclusion", "source", "source_url", "doi", "language", "content_hash"),
-             "news": ("original_language", "title_original", "title_en_for_rag", "content_original", "content_en_for_rag", "source", "url", "category", "content_hash")}
+    texts = {"papers": ("title", "authors", "abstract", "introduction", "body", "conclusion", "source", "source_url", "doi", "language"),
+             "news": ("original_language", "title_original", "title_en_for_rag", "content_original", "content_en_for_rag", "source", "url", "category")}
+    fine = lambda c: "https://h.example/x" if "url" in c else "x"
     for name, key in (("papers", "paper_id"), ("news", "news_id")):
         cols = texts[name]
-        rows = [(0, *("x" for _ in cols), ["k"], "2025-01-01"), *((i, *("a\0" if c == own else "x" for c in cols), ["k"], "2025-01-01") for i, own in enumerate(cols, 1))]
-        rows += [(90, *("x" for _ in cols), ["a\0"], "2025-01-01"), (91, *(None for _ in cols), None, None), (92, *("x" * 501 if c == "title_en_for_rag" else "x" for c in cols), ["k"], "2025-01-01")]
+        rows = [(0, *map(fine, cols), ["k"], "2025-01-01"), *((i, *(fine(c) + "\0" if c == own else fine(c) for c in cols), ["k"], "2025-01-01") for i, own in enumerate(cols, 1))]
+        rows += [(90, *map(fine, cols), ["a\0"], "2025-01-01"), (91, *(None for _ in cols), None, None), (92, *("x" * 501 if c == "title_en_for_rag" else fine(c) for c in cols), ["k"], "2025-01-01"), (93, *("x" if "url" in c else "x" for c in cols), ["k"], "2025-01-01")]
         schema = f"{key} bigint, " + ", ".join(f"{c} string" for c in cols) + ", keywords array<string>, published_at string"
-        spark.createDataFrame(rows, schema).selectExpr("* except (published_at)", "published_at::timestamp as published_at").write.parquet(f"{d}/{name}.parquet")
+        df = spark.createDataFrame(rows, schema).selectExpr("* except (published_at)", "published_at::timestamp as published_at", "current_timestamp() as collected_at", "1 as published_year", "cast(null as string) as content_hash")
+        df.write.parquet(f"{d}/{name}.parquet")
     got = {(r.kind, r.id): r.errors for r in reference.load_checks(spark, d).collect()}
-    want = {(name, i): f"{c}:nul" for name, cols in texts.items() for i, c in enumerate(cols, 1)} | {(name, 90): "keywords:nul" for name in texts}
+    want = {(name, i): f"{c}:nul" for name, cols in texts.items() for i, c in enumerate(cols, 1)} | {(name, 90): "keywords:nul" for name in texts} | {("papers", 93): "source_url:url", ("news", 93): "url:url"}
     missing = {"papers": ("title", "source_url"), "news": ("title_original", "content_original", "url", "title_en_for_rag", "content_en_for_rag", "published_at")}
     assert got == want | {(name, 91): ",".join(f"{c}:required" for c in cols) for name, cols in missing.items()} | {("news", 92): "title_en_for_rag:length"}
